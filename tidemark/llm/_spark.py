@@ -32,14 +32,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again, so that a lost executor costs no recomputation of it.
-
-    The files go when the session's JVM ends.
-    """
-    spark = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder whose files go when the session's JVM ends."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder and read again, so that a lost executor costs no recomputation of it."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, topk_cover_tree
-from tidemark.llm._spark import table
+from tidemark.llm import quality, topk_cover_tree, warc
+from tidemark.llm._spark import new_path, table
 
 
 
@@ -18,6 +18,14 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_cover_tree.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    path = new_path(spark, "warc")
+    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages", "page_id", "url", "html")), path)
+    records = warc.read_archives(spark.read.parquet(path), payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the quality rules on every document."""
     judged = quality.judge(quality.measure(table(spark, sf_dir, "documents", "doc_id", "text")))
@@ -26,6 +34,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_warc": op2_warc,
     "op5_quality_rules": op5_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -40,4 +49,12 @@ ORACLE_SQL: dict[str, str] = {
         ranked AS (
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
 }
