@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, topk_cover_tree, warc
+from tidemark.llm import bpe, packing, quality, topk_cover_tree, warc
 from tidemark.llm._spark import new_path, table
 
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest other vectors of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -26,16 +33,39 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of at most 2048 ids."""
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the quality rules on every document."""
     judged = quality.judge(quality.measure(table(spark, sf_dir, "documents", "doc_id", "text")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids, and back as bytes."""
+    import public_tokenizers
+
+    how = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), *how)
+    both = bpe.decode(ids, *how)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_warc": op2_warc,
+    "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": """
