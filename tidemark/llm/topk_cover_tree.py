@@ -27,15 +27,18 @@ from pyspark.sql import functions as F
 
 SHARD_ROWS = 2048
 BLOCK_ROWS = 1024
-LEAF_ROWS = 48
+LEAF_ROWS = 128
+FAN_OUT = 32
 PACKED = "part string, dim int, n int, ids binary, vectors binary"
 
 
 class Tree:
     """A cover tree as flat arrays: node i covers rows order[start[i]:stop[i]] within radius[i] of row centre[i].
 
-    A node's children are centred on points more than half its radius apart, and each row goes to a child whose centre
-    lies within that half radius.
+    A node's children are a net of its rows: centres at least some scale apart, and each row with its nearest centre,
+    within that scale. The scale falls until it is half the radius or there are FAN_OUT centres, as in many dimensions
+    half the radius would take a centre for nearly every row. Rows of very small children stay together in one leaf
+    around the node's own centre.
     """
 
     def __init__(self, x: np.ndarray) -> None:
@@ -59,12 +62,15 @@ class Tree:
             nearest, who, centres = away, np.zeros(len(rows), np.int64), [centre]
             while True:
                 far = int(nearest.argmax())
-                if nearest[far] <= radius / 2:
+                if nearest[far] <= radius / 2 or len(centres) >= FAN_OUT:
                     break
                 other = self._distance(x[rows], square[rows], x[rows[far]], square[rows[far]])
                 closer = other < nearest
                 who[closer], nearest = len(centres), np.where(closer, other, nearest)
                 centres.append(rows[far])
+            who[np.bincount(who, minlength=len(centres))[who] < LEAF_ROWS // 16] = 0
+            if not who.any():
+                continue
             by = np.argsort(who, kind="stable")
             self.order[start:stop] = rows[by]
             edges = start + np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(centres)))))
