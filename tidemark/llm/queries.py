@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, packing, quality, topk_cover_tree, warc
+from tidemark.llm import bpe, langid, minhash_join, packing, quality, topk_cover_tree, warc
 from tidemark.llm._spark import new_path, table
 
 
@@ -45,6 +45,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, on two-word shingles."""
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by a model that never saw the held-out ones."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op7_minhash_join": op7_minhash_join,
     "op8_language_id": op8_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
