@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, minhash_join, packing, quality, topk_cover_tree, warc
+from tidemark.llm import bpe, langid, minhash_join, packing, quality, substring_dedup, topk_cover_tree, warc
 from tidemark.llm._spark import new_path, table
 
 
@@ -33,6 +33,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word passages that a smaller document has."""
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", substring_dedup.n_removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 2048 ids."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
@@ -75,6 +81,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_warc": op2_warc,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_minhash_join": op7_minhash_join,
