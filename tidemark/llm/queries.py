@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, minhash_join, packing, quality, substring_dedup, suffix_dedup, topk_cover_tree, warc
+from tidemark.llm import bpe, html_boilerplate, langid, minhash_join, packing, quality, substring_dedup, suffix_dedup, topk_cover_tree, warc
 from tidemark.llm._spark import new_path, table
 
 
@@ -51,6 +51,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    made = html_boilerplate.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return made.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, on two-word shingles."""
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2)
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_extraction": op6_html_extraction,
     "op7_minhash_join": op7_minhash_join,
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
