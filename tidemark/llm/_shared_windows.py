@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm._words import mix
 
@@ -37,6 +38,11 @@ def chunked(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     return docs.withColumn("chunk", chunk).repartition(n, "chunk"), n
 
 
+def result(docs: DataFrame, made: str, *passed: str) -> T.StructType:
+    """The schema of columns made anew and of columns passed through as they are."""
+    return T.StructType([*T.StructType.fromDDL(made).fields, *[docs.schema[name] for name in passed]])
+
+
 def ids(table: pa.Table) -> np.ndarray:
     """Document ids; a missing one is larger than all others."""
     return table["doc_id"].combine_chunks().fill_null(NO_ID).to_numpy()

@@ -87,11 +87,10 @@ def _smaller_elsewhere(table: pa.Table) -> pa.Table:
     return sw.answer(2, [(chunks[i], buckets[i], flag[edge[i] : edge[i + 1]]) for i in range(len(parts))])
 
 
-def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, spans (the removed intervals, in words), kept (the other words, joined by one space) and rest
-    (a struct of df's other columns) for every row of df."""
+    (a struct of df's other columns), and on request the whole text, for every row of df."""
     docs, n = sw.chunked(df, id_col, text_col)
-    rest = docs.schema["rest"].dataType
 
     def shared_windows(chunk: _Chunk, bits: pa.Table) -> tuple[np.ndarray, np.ndarray, _Windows]:
         flag = sw.Anchors(chunk.name, chunk.row, n).shared(sw.answers(bits, 1), chunk.name)
@@ -126,13 +125,14 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
                 last = b
             kept.append(b" ".join(own + all_words[last:] if last else all_words).decode())
             spans.append((start, stop))
-        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(chunk.n_words), "spans": sw.spans_column(spans), "kept": pa.array(kept, pa.string()), "rest": table["rest"]})
+        made = {"doc_id": table["doc_id"], "n_words": pa.array(chunk.n_words), "spans": sw.spans_column(spans), "kept": pa.array(kept, pa.string()), "rest": table["rest"]}
+        return pa.table(made | ({"text": table["text"]} if with_text else {}))
 
     asked = docs.groupBy("chunk").applyInArrow(send_anchors, sw.ASKED)
     first = asked.groupBy("bucket").applyInArrow(sw.held_elsewhere, sw.ANSWERED)
     sent = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_windows, "bucket int, chunk int, hashes binary, least binary")
     second = sent.groupBy("bucket").applyInArrow(_smaller_elsewhere, sw.ANSWERED)
-    made = f"doc_id long, n_words long, spans array<struct<start:long,stop:long>>, kept string, rest {rest.simpleString()}"
+    made = sw.result(docs, "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, kept string", "rest", *["text"] * with_text)
     return docs.groupBy("chunk").cogroup(first.union(second).groupBy("chunk")).applyInArrow(remove, made)
 
 

@@ -238,7 +238,6 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     """doc_id, n_bytes, spans (the maximal removed runs, in bytes), kept (the other bytes) and rest (a struct of df's
     other columns) for every row of df."""
     docs, n = sw.chunked(df, id_col, text_col)
-    rest = docs.schema["rest"].dataType
 
     def stretches(chunk: _Chunk, bits: pa.Table) -> tuple[np.ndarray, _Stretches]:
         flag = sw.Anchors(chunk.name, chunk.row, n).shared(sw.answers(bits, 1), chunk.name)
@@ -280,5 +279,5 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     first = asked.groupBy("bucket").applyInArrow(sw.held_elsewhere, sw.ANSWERED)
     sent = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_stretches, "bucket int, chunk int, bytes binary, sizes binary, least binary")
     second = sent.groupBy("bucket").applyInArrow(lambda table: _smaller_elsewhere(table, width), sw.ANSWERED)
-    made = f"doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary, rest {rest.simpleString()}"
+    made = sw.result(docs, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary", "rest")
     return docs.groupBy("chunk").cogroup(first.union(second).groupBy("chunk")).applyInArrow(remove, made)
