@@ -13,7 +13,7 @@ Equal bounds are kept, so ties are decided by the smaller id. Scores are integer
 Rows that are null, empty, or hold a null or non-finite component take no part. Vectors meet only vectors of equal
 length. Of equal candidate vectors inside a shard only the k + 1 smallest ids can rank, which keeps a very common vector
 from filling a leaf. A repeated id is a row of its own; a query never meets rows of its own id. Scores outside the
-64-bit range are clipped to it. An empty table gives no rows.
+64-bit range are clipped to it (its least value aside, which marks an empty place). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -87,9 +87,9 @@ def _scores(q: np.ndarray, x: np.ndarray, exact: str) -> np.ndarray:
         return (q @ x.T).astype(np.int64)
     if exact == "long":
         return q.astype(np.int64) @ x.astype(np.int64).T
-    most = np.iinfo(np.int64)
-    big = q.astype(object) @ x.astype(object).T
-    return np.clip(np.vectorize(int, otypes=[object])(big), most.min, most.max).astype(np.int64)
+    low, high = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
+    whole = np.frompyfunc(int, 1, 1)  # Python's integers have no bound
+    return np.frompyfunc(lambda v: min(max(v, low), high), 1, 1)(whole(q) @ whole(x).T).astype(np.int64)
 
 
 def _exactness(q: np.ndarray, x: np.ndarray) -> str:
