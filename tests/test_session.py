@@ -116,3 +116,27 @@ def test_copy_round_trip(session, tmp_path):
     session.domains = ["sales"]
     session.copy_from("orders", ["id", "status", "total"], str(tmp_path / "in.csv"), csv=True)
     assert rows(session.sql("SELECT id, status, total FROM orders WHERE id > 10")) == [(11, 'a "b", c', 4.5), (12, "x", None)]
+
+
+def test_returning(session):
+    assert rows(session.sql("INSERT INTO lines (order_id, qty) VALUES (1, 1) RETURNING id, qty")) == [(3, 1)]
+    assert rows(session.sql("INSERT INTO orders (id, total) VALUES (6, 1) RETURNING *")) == [(6, "new", 1.0)]
+
+
+def test_follow_resumes_and_replicates(session, tmp_path):
+    from tidemark.streaming import tail
+
+    seen = []
+    handle = lambda df, _: seen.extend((r.commit_lsn, r.root_pk) for r in df.collect())
+    for _ in range(2):
+        tail.follow_entity(session, "sales", "ord", handle, str(tmp_path / "point")).awaitTermination()
+        if len(seen) == 2:
+            session.sql("UPDATE orders SET total = 3 WHERE id = 2")
+    assert seen == [(9, 1), (9, 2), (session.head(), 2)]
+    session.sql("ALTER TABLE orders ADD COLUMN note TEXT")
+    for _ in range(2):
+        tail.replicate(session.ledger, str(tmp_path / "copy"), str(tmp_path / "point2")).awaitTermination()
+        session.sql("DELETE FROM lines WHERE qty = 5")
+    copy = Session(session.spark, str(tmp_path / "copy"))
+    for t in ("sales.orders", "sales.lines"):
+        assert rows(copy.table(t)) == rows(session.table(t, copy.head()))

@@ -24,6 +24,7 @@ class Transaction:
 
     def __init__(self, domains: list[str], head: int) -> None:
         self.domains, self.head, self.queue = domains, head, []
+        self.returned: DataFrame | None = None  # rows of the last INSERT ... RETURNING
 
     def rollback_to(self, name: str) -> None:
         for i in range(len(self.queue) - 1, -1, -1):
@@ -170,7 +171,8 @@ class Session:
             return "QUEUED"
         own = Transaction(self.domains, self.head())
         own.queue.append((kind, found))
-        return f"COMMIT {self._commit(own)}"
+        lsn = self._commit(own)
+        return own.returned if own.returned is not None else f"COMMIT {lsn}"
 
     def _select(self, text: str) -> DataFrame:
         if found := S.history_of(text):
@@ -256,6 +258,8 @@ class Session:
             else:
                 changes = dml.truncate(now(name), pk)
             changes = self._cut(changes.withColumn("seq", F.lit(seq)))
+            if kind == "insert" and s["returning"]:
+                tx.returned = changes.select("new.*").select(*s["returning"])
             self._check(changes.where("op <> 'DELETE'").select("new.*"), name, definition, now, catalog, insert=kind == "insert" and s["conflict"] is None)
             states[name] = dml.apply(now(name), changes, pk, lsn)
             staged[name] = changes if name not in staged else staged[name].unionByName(changes)

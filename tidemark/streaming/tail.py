@@ -16,18 +16,52 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataF
     return spark.table(name)
 
 
-def follow(spark: SparkSession, changes_path: str, schema, from_lsn: int | None = None, to_lsn: int | None = None) -> DataFrame:
-    """A stream of the change rows of a log's Parquet files, between two commits if they are given."""
-    rows = spark.readStream.schema(schema).parquet(changes_path)
+COMMITS = "lsn long, tx string, time double, domains array<string>, operations array<array<string>>, files map<string, string>"
+
+
+def follow_commits(ledger, from_lsn: int | None = None, to_lsn: int | None = None) -> DataFrame:
+    """A stream of commit records; files of transactions that failed have no record and so never show."""
+    rows = ledger.spark.readStream.schema(COMMITS).json(f"{ledger.path}/commits")
     if from_lsn is not None:
-        rows = rows.where(F.col("commit_lsn") >= from_lsn)
-    return rows if to_lsn is None else rows.where(F.col("commit_lsn") <= to_lsn)
+        rows = rows.where(F.col("lsn") >= from_lsn)
+    return rows if to_lsn is None else rows.where(F.col("lsn") <= to_lsn)
+
+
+def follow_entity(session, domain: str, name: str, handle, checkpoint: str, pk=None, from_lsn: int | None = None, to_lsn: int | None = None, once: bool = True):
+    """Call handle(changes, batch number) with an entity's changes as commits arrive; the checkpoint is where it resumes.
+
+    A batch is the commits that are new since the last one; after a failure the same batch comes again, so a handler
+    that goes by (commit_lsn, root_pk) sees each change once.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        low, high = batch.agg(F.min("lsn"), F.max("lsn")).first()
+        if low is not None:
+            handle(session.entity_changes(domain, name, pk, low, high), number)
+
+    writer = follow_commits(session.ledger, from_lsn, to_lsn).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
-def replicate(stream: DataFrame, path: str, checkpoint: str, table: str = "changes"):
-    """Append a stream of change rows to another log; a batch seen before is not written again."""
+def replicate(ledger, to: str, checkpoint: str, once: bool = True):
+    """Copy commits to another log as they arrive, in order; commits that it has are passed over."""
+    from tidemark.sources.ledger import Conflict, Ledger
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{table}/batch={number}")
+    def run(batch: DataFrame, number: int) -> None:
+        target = Ledger(ledger.spark, to)
+        high = batch.agg(F.max("lsn")).first()[0]
+        for record in ledger.commits(high):
+            if record["lsn"] <= target.head():
+                continue
+            for folder in record["files"].values():
+                ledger.spark.read.parquet(f"{ledger.path}/{folder}").write.mode("overwrite").parquet(f"{to}/{folder}")
+            for table in record["resets"]:
+                at = f"checkpoints/{table}/{record['lsn']:020d}"
+                ledger.spark.read.parquet(f"{ledger.path}/{at}").write.mode("overwrite").parquet(f"{to}/{at}")
+            try:
+                target.publish(record)
+            except Conflict:
+                pass  # an earlier run of this batch got this far
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = follow_commits(ledger).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
