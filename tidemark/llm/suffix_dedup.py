@@ -29,6 +29,8 @@ from tidemark.llm._words import BASE, BYTE_CODE, INVERSE, mix, powers, rolling,
 
 WIDTH = 50
 GRAM = 16
+#: Parts of a bucket, by anchor, that a reducer sorts one after another; bounds its memory.
+PARTS = 32
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
@@ -169,22 +171,23 @@ class _Stretches:
         start, self.count = chunk.start[chosen], chunk.count[chosen]
         doc = chunk.doc[chunk.row[chosen]]
         bucket = (chunk.name[chosen] % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((doc, h := _hash(chunk.raw, start, self.count + width - 1), bucket))
+        part = (chunk.name[chosen] // np.uint64(buckets) % np.uint64(PARTS)).astype(np.uint8)
+        by = np.lexsort((doc, h := _hash(chunk.raw, start, self.count + width - 1), part, bucket))
         new = np.ones(len(by), bool)
-        new[1:] = (h[by][1:] != h[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])
+        new[1:] = (h[by][1:] != h[by][:-1]) | (bucket[by][1:] != bucket[by][:-1]) | (part[by][1:] != part[by][:-1])
         self.of = np.zeros(len(by), np.int64)
         self.of[by] = np.cumsum(new) - 1
         keep = by[new]
-        self.start, self.windows, self.least, self.bucket = start[keep], self.count[keep], doc[keep], bucket[keep]
+        self.start, self.windows, self.least, self.bucket, self.part = start[keep], self.count[keep], doc[keep], bucket[keep], part[keep]
 
 
 def _ask(chunk: int, raw: np.ndarray, found: _Stretches, width: int) -> pa.Table:
     rows = []
     for b, some in sw.by_bucket(found.bucket):
         size = found.windows[some] + width - 1
-        rows.append((b, _gather(raw, found.start[some], size).tobytes(), size.astype(np.int32).tobytes(), found.least[some].tobytes()))
+        rows.append((b, _gather(raw, found.start[some], size).tobytes(), size.astype(np.int32).tobytes(), found.least[some].tobytes(), found.part[some].tobytes()))
     column = lambda k, kind: pa.array([r[k] for r in rows], kind)
-    return pa.table({"bucket": column(0, pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "bytes": column(1, pa.binary()), "sizes": column(2, pa.binary()), "least": column(3, pa.binary())})
+    return pa.table({"bucket": column(0, pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "bytes": column(1, pa.binary()), "sizes": column(2, pa.binary()), "least": column(3, pa.binary()), "parts": column(4, pa.binary())})
 
 
 def _smallest(raw: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
@@ -213,14 +216,29 @@ def _smaller_elsewhere(table: pa.Table, width: int) -> pa.Table:
     """For each window of each stretch of each chunk, whether a smaller document than the chunk's own has it."""
     blob = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
     parts, sizes = blob("bytes", np.uint8), [x.astype(np.int64) for x in blob("sizes", np.int32)]
-    raw, size, least = np.concatenate(parts), np.concatenate(sizes), np.concatenate(blob("least", np.int64))
+    raw, size, least, part = np.concatenate(parts), np.concatenate(sizes), np.concatenate(blob("least", np.int64)), np.concatenate(blob("parts", np.uint8))
+    start, count = np.cumsum(size) - size, size - width + 1
+    first = np.cumsum(count) - count
+    flag = np.zeros(int(count.sum()), bool)
+    for name in np.unique(part):
+        some = np.flatnonzero(part == name)
+        step = np.arange(count[some].sum()) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+        flag[np.repeat(first[some], count[some]) + step] = _flags(raw, start[some], size[some], least[some], width)
+    edge = np.cumsum([0, *[int((x - width + 1).sum()) for x in sizes]])
+    chunks, buckets = table["chunk"].to_pylist(), table["bucket"].to_pylist()
+    return sw.answer(2, [(chunks[i], buckets[i], flag[edge[i] : edge[i + 1]]) for i in range(len(parts))])
+
+
+def _flags(raw: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """For each window of each of these stretches, whether one of them with a smaller document has it too."""
+    raw = _gather(raw, start, size)
     start = np.cumsum(size) - size
-    value, first, which = np.unique(_hash(raw, start, size), return_index=True, return_inverse=True)
-    equal = size[first][which] == size
-    step = np.arange(size.sum()) - np.repeat(start, size)
-    other = start[first][which]
-    agree = np.minimum.reduceat(raw == raw[np.minimum(np.repeat(other, size) + step, len(raw) - 1)], start) if len(start) else equal
-    if not (equal & agree).all():  # stretches that differ share a hash: let all of them be sorted
+    _, first, which = np.unique(_hash(raw, start, size), return_index=True, return_inverse=True)
+    equal = (size[first][which] == size).all()
+    if equal:
+        step = np.arange(len(raw)) - np.repeat(start, size)
+        equal = (raw == raw[np.repeat(start[first][which], size) + step]).all()
+    if not equal:  # stretches that differ share a hash: let all of them be sorted
         first = which = np.arange(len(size))
     low = np.full(len(first), sw.NO_ID)
     np.minimum.at(low, which, least)
@@ -228,10 +246,7 @@ def _smaller_elsewhere(table: pa.Table, width: int) -> pa.Table:
     count = size - width + 1
     begin = (np.cumsum(count[first]) - count[first])[which]
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    flag = smallest[np.repeat(begin, count) + step] < np.repeat(least, count)
-    edge = np.cumsum([0, *[int((x - width + 1).sum()) for x in sizes]])
-    chunks, buckets = table["chunk"].to_pylist(), table["bucket"].to_pylist()
-    return sw.answer(2, [(chunks[i], buckets[i], flag[edge[i] : edge[i + 1]]) for i in range(len(parts))])
+    return smallest[np.repeat(begin, count) + step] < np.repeat(least, count)
 
 
 def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +292,7 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
 
     asked = docs.groupBy("chunk").applyInArrow(send_anchors, sw.ASKED)
     first = asked.groupBy("bucket").applyInArrow(sw.held_elsewhere, sw.ANSWERED)
-    sent = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_stretches, "bucket int, chunk int, bytes binary, sizes binary, least binary")
+    sent = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_stretches, "bucket int, chunk int, bytes binary, sizes binary, least binary, parts binary")
     second = sent.groupBy("bucket").applyInArrow(lambda table: _smaller_elsewhere(table, width), sw.ANSWERED)
     made = sw.result(docs, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary", "rest")
     return docs.groupBy("chunk").cogroup(first.union(second).groupBy("chunk")).applyInArrow(remove, made)
