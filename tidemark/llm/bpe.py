@@ -8,7 +8,7 @@ suits very long ones.
 
 Texts are cut by a pattern and each match is encoded by itself. Parts of a text that start with a single space between
 two other characters are cut alike wherever they stand, so their ids are remembered (CACHED_PARTS of them); other texts
-are cut as a whole. A null text is an empty one and has no ids. Rows are independent: repeated rows, null ids and further
+are cut as a whole. Pre-tokens are remembered too (CACHED_PIECES). A null text is an empty one and has no ids. Rows are independent: repeated rows, null ids and further
 columns pass through, and an empty table gives an empty one.
 """
 
@@ -20,13 +20,15 @@ import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_PARTS = 400_000
+CACHED_PARTS = 200_000
+CACHED_PIECES = 900_000
 LONG_PART = 512
 BATCH_BYTES = 4 << 20
 
@@ -130,6 +132,12 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
 _UNEVEN = re.compile(r"\s | \s")
 
 
+def forget_half(memory: dict) -> None:
+    """Drop the older half of a memory; what is frequent soon comes back."""
+    for key in list(islice(memory, len(memory) // 2)):
+        del memory[key]
+
+
 class Encoder(dict):
     """Part of a text -> its ids as 32-bit numbers in bytes, remembered for CACHED_PARTS parts."""
 
@@ -138,7 +146,9 @@ class Encoder(dict):
 
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-        self.tokens = {i: t for t, i in self.ranks.items()}
+        self.tokens: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
+        for token, i in self.ranks.items():
+            self.tokens[i] = token
         self.matches = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.queue = RankQueue()
@@ -150,8 +160,8 @@ class Encoder(dict):
         ids = merge(piece.encode(), self.ranks, self.queue)
         made = struct.pack(f"={len(ids)}i", *ids)
         if len(piece) <= LONG_PART:
-            if len(self.pieces) >= CACHED_PARTS:
-                self.pieces.clear()
+            if len(self.pieces) >= CACHED_PIECES:
+                forget_half(self.pieces)
             self.pieces[piece] = made
         return made
 
@@ -159,7 +169,7 @@ class Encoder(dict):
         made = self._cut(" " + part)
         if len(part) <= LONG_PART:
             if len(self) >= CACHED_PARTS:
-                self.clear()
+                forget_half(self)
             self[part] = made
         return made
 
@@ -210,8 +220,11 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_c
         own = encoder(path, pattern).decode
         for batch in batches:
             column, step = batch.column(ids_col), 256
+            flat, edge = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            there = np.asarray(column.is_valid())
             for i in range(0, batch.num_rows, step):
-                made = [None if x is None else own(x) for x in column.slice(i, step).to_pylist()]
+                rows = range(i, min(i + step, batch.num_rows))
+                made = [own(flat[edge[k] : edge[k + 1]].tolist()) if there[k] else None for k in rows]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, step).columns, pa.array(made, pa.binary())], [*batch.schema.names, bytes_col])
 
     schema = df.drop(bytes_col).withColumn(bytes_col, F.lit(None).cast("binary")).schema
