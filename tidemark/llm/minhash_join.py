@@ -34,7 +34,7 @@ from tidemark.llm._words import CONSTANT, mix, slices, texts, words
 COORDINATES = 64
 MATCHES = 36
 PREFIX = COORDINATES - MATCHES + 1
-CLOSE = 56
+CLOSE = 46
 SKETCH_SLOTS = 1 << 18
 ID_SLOTS = 1 << 20
 LIST_ROWS = 100_000
