@@ -288,3 +288,28 @@ def test_bpe(frame, docs, empty):
     long = "ab" * 20000 + "thequick" * 2000
     assert np.frombuffer(encoder.encode(long), np.int32).tolist() == truth.encode_ordinary(long)
     assert bpe.encode(empty, *how).count() == 0
+
+
+def host_pages(spark, bodies, url="http://h.org"):
+    """The text of each page of one host, by number."""
+    rows = [(i, f"{url}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    made = html_boilerplate.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    return {r.page_id: r.text for r in made.collect()}
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+
+
+def test_html_copies_under_other_menus(spark):
+    article, line = prose("article", 60).split(), prose("line", 12)
+    near = [" ".join(article[:k] + [f"edit{k}"] + article[k + 1 :]) for k in (5, 20, 40)]
+    same = [" ".join(article)] * 4
+    bodies = [f"<nav>{prose(f'menu {i}', 9)}</nav><p>{t}</p>" for i, t in enumerate(same + near)]
+    assert host_pages(spark, bodies) == dict(enumerate(same + near))
+    # A line on four of forty pages is a phrase there, on six it is boilerplate.
+    for n, gone in ((4, False), (6, True)):
+        own = [prose(f"own {i}", 30) for i in range(40)]
+        got = host_pages(spark, [f"<p>{t}</p>" + (f"<p>{line}</p>" if i < n else "") for i, t in enumerate(own)])
+        assert got == {i: t + (f"\n{line}" if i < n and not gone else "") for i, t in enumerate(own)}

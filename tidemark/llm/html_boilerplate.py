@@ -6,9 +6,13 @@ an open heading of the first level. A page with a main block keeps its main bloc
 open blocks and headings.
 
 The blocks of a host's pages, all of them, are concatenated as tokens and sorted as suffixes, by prefix doubling up to
-RUN tokens. A run of RUN tokens or more that stands on MIN_PAGES distinct pages is boilerplate where markup says nothing:
-open blocks lose the tokens it covers and keep their unique runs. What markup calls the article stays whole, as articles
-may be copied or quoted. Pages with the same tokens count as one page here, so copies don't erase each other.
+RUN tokens. A run of RUN tokens or more that stands on enough distinct pages of the host is boilerplate where markup says
+nothing: open blocks lose the tokens it covers and keep their unique runs. Enough is MIN_PAGES, or the logarithm to base 2
+of the host's distinct pages if that is more. What markup calls the article stays whole, as articles may be copied or quoted.
+
+Copies don't erase each other: pages with the same text outside chrome are one page, and a page of whose text less than
+1 / OWN_PART is its own, in no run of another page of the host, is a near copy; near copies that hold a run count as one
+page for it. So boilerplate stays on a host whose pages are nearly all near copies.
 
 A host's pages are sorted in shards of about SHARD_PAGES pages, dealt by a hash of the page, which bounds a task
 however large a host is; a template stands on most pages of its host and so shows in every shard.
@@ -21,7 +25,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,7 @@ from tidemark.llm._words import texts, words
 
 RUN = 8
 MIN_PAGES = 3
+OWN_PART = 5
 SHARD_PAGES = 2048
 MAIN, OPEN, CHROME, HEADING = 0, 1, 2, 3
 
@@ -141,7 +148,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
 
 
 def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, host, the blocks' texts joined by line feeds, and their kinds, a byte each."""
+    """page_id, url, host, the blocks' texts joined by line feeds, their kinds, a byte each, and a hash of the text outside chrome."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,10 +156,12 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
                 part = batch.slice(i, 256)
                 found = [blocks(x.as_py() or "") for x in part.column(2)]
                 text, kinds = ["\n".join(t for _, t in f) for f in found], [bytes(k for k, _ in f) for f in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text), pa.array(kinds, pa.binary())], ["page_id", "url", "blocks", "kinds"])
+                own = [blake2b(" ".join(t for k, t in f if k != CHROME).encode(), digest_size=8).digest() for f in found]
+                key = pa.array(np.frombuffer(b"".join(own), np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text), pa.array(kinds, pa.binary()), key], ["page_id", "url", "blocks", "kinds", "key"])
 
     chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    parsed = chosen.mapInArrow(run, "page_id long, url string, blocks string, kinds binary")
+    parsed = chosen.mapInArrow(run, "page_id long, url string, blocks string, kinds binary, key long")
     return parsed.withColumn("host", host(F.col("url")))
 
 
@@ -180,14 +189,46 @@ def suffix_order(token: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.nda
     return order, rank
 
 
-def covered_tokens(raw: np.ndarray, edges: np.ndarray, kinds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Page, block within the page, place in the text's bytes and verdict of each token of a shard: True for boilerplate."""
+class Shard(NamedTuple):
+    """Tokens of some pages of a host and their runs, the sequences of RUN tokens within a page."""
+
+    page: np.ndarray  # of each token
+    block: np.ndarray  # of each token, within its page
+    kind: np.ndarray  # of each token's block
+    run: np.ndarray  # number of the run that starts at each token, -1 for none
+    held: tuple[np.ndarray, np.ndarray]  # the distinct (run, page)
+    runs: int
+    pages: int
+
+    def count(self, chosen: np.ndarray) -> np.ndarray:
+        """On how many of the chosen pages each run stands."""
+        return np.bincount(self.held[0][chosen[self.held[1]]], minlength=self.runs)
+
+    def covered(self, chosen: np.ndarray) -> np.ndarray:
+        """The tokens that the chosen runs cover."""
+        start = np.flatnonzero((self.run >= 0) & np.append(chosen, False)[self.run])
+        step = np.zeros(len(self.page) + RUN + 1, np.int64)
+        step[start] += 1
+        step[start + RUN] -= 1
+        return np.cumsum(step)[: len(self.page)] > 0
+
+    def fresh(self, shared: np.ndarray) -> np.ndarray:
+        """The pages that aren't near copies, given the runs that stand on two distinct pages of the host."""
+        inside = self.kind != CHROME
+        total = np.bincount(self.page[inside], minlength=self.pages)
+        own = np.bincount(self.page[inside & ~self.covered(shared)], minlength=self.pages)
+        return (total > 0) & (own * OWN_PART >= total)
+
+
+def shard_of(raw: np.ndarray, edges: np.ndarray, kinds: list[np.ndarray]) -> Shard:
+    """The runs of a shard, told apart by its suffix array."""
+    pages = len(edges) - 1
     page, begin, _, token = words(raw, edges)
     line = np.concatenate(([0], np.cumsum(raw == 10)))
     block = line[begin] - line[edges[page]]
-    gone = np.zeros(len(page), bool)
+    run, none = np.full(len(page), -1), np.zeros(0, np.int64)
     if not len(page):
-        return page, block, begin, gone
+        return Shard(page, block, none, run, (none, none), 0, pages)
     first_block = np.cumsum([0, *map(len, kinds)])
     kind = np.concatenate(kinds)[first_block[page] + block]
     edge = np.searchsorted(page, np.arange(len(edges)))
@@ -195,26 +236,38 @@ def covered_tokens(raw: np.ndarray, edges: np.ndarray, kinds: list[np.ndarray])
     whole = np.arange(len(page)) + RUN <= edge[page + 1]
     order = order[whole[order]]
     if not len(order):
-        return page, block, begin, gone
-    same_page = np.zeros(len(edges) - 1, np.int64)  # pages with equal tokens count as one
-    full = np.flatnonzero(np.diff(edge))
-    sums = np.add.reduceat(token * (2 * np.arange(len(token), dtype=np.uint64) - 2 * edge[page].astype(np.uint64) + np.uint64(1)), edge[full])
-    same_page[full] = np.unique(sums, return_inverse=True)[1]
+        return Shard(page, block, kind, run, (none, none), 0, pages)
     group = np.cumsum(np.concatenate(([0], (rank[order][1:] != rank[order][:-1]).astype(np.int64))))
+    run[order] = group
+    pair = np.unique(group * pages + page[order])
+    return Shard(page, block, kind, run, (pair // pages, pair % pages), int(group[-1]) + 1, pages)
+
+
+def first_of(key: np.ndarray) -> np.ndarray:
+    """The first page of each text."""
+    first = np.zeros(len(key), bool)
+    first[np.unique(key, return_index=True)[1]] = True
+    return first
+
+
+def least_pages(pages: int) -> int:
+    """The distinct pages that make a run boilerplate, on a host of so many."""
+    return max(MIN_PAGES, (pages - 1).bit_length())
+
 
-    pair = np.unique(group * len(edges) + same_page[page[order]])
-    pages = np.bincount(pair // len(edges), minlength=int(group[-1]) + 1)
-    start = order[pages[group] >= MIN_PAGES]
-    step = np.zeros(len(page) + 1, np.int64)
-    np.add.at(step, start, 1)
-    np.add.at(step, start + RUN, -1)
-    gone = (np.cumsum(step[:-1]) > 0) & (kind == OPEN)
-    return page, block, begin, gone
+def boilerplate(shard: Shard, key: np.ndarray) -> np.ndarray:
+    """The tokens of a whole host that its open blocks lose."""
+    first = first_of(key)
+    fresh = shard.fresh(shard.count(first) > 1)
+    on = shard.count(first & fresh) + (shard.count(~fresh) > 0)
+    pages = int((first & fresh).sum()) + bool((~fresh).any())
+    return shard.covered(on >= least_pages(pages)) & (shard.kind == OPEN)
 
 
 def _extract(table: pa.Table) -> pa.Table:
     kinds = [np.frombuffer(k.as_buffer(), np.uint8) if k.is_valid else np.zeros(0, np.uint8) for k in table["kinds"]]
-    page, block, _, gone = covered_tokens(*texts(table["blocks"]), kinds)
+    shard = shard_of(*texts(table["blocks"]), kinds)
+    page, block, gone = shard.page, shard.block, boilerplate(shard, table["key"].to_numpy())
     lost: dict[tuple[int, int], list[int]] = {}
     first = np.searchsorted(page * (1 << 32) + block, page * (1 << 32) + block)  # of each token's block
     for i in np.flatnonzero(gone).tolist():
