@@ -313,3 +313,17 @@ def test_html_copies_under_other_menus(spark):
         own = [prose(f"own {i}", 30) for i in range(40)]
         got = host_pages(spark, [f"<p>{t}</p>" + (f"<p>{line}</p>" if i < n else "") for i, t in enumerate(own)])
         assert got == {i: t + (f"\n{line}" if i < n and not gone else "") for i, t in enumerate(own)}
+
+
+def test_html_line_within_articles(spark):
+    line, quote = prose("subscribe", 14), prose("quote", 30)
+    own = [prose(f"article {i}", 40) for i in range(12)]
+    # The line goes; a passage that five of twelve articles quote and an article that stands twice stay.
+    bodies = [f"<article><p>{t}</p><p>{line}</p>" + (f"<p>{quote}</p>" if i < 5 else "") + "</article>" for i, t in enumerate(own)]
+    bodies.append(f"<nav>{prose('menu', 9)}</nav>{bodies[0]}")
+    want = {i: t + (f"\n{quote}" if i < 5 else "") for i, t in enumerate(own)}
+    assert host_pages(spark, bodies) == want | {12: want[0]}
+    # An article's title stays although other pages advertise it.
+    title = prose("title", 10)
+    ads = [f"<div class='ad'>{title}</div><article><p>{t}</p></article>" for t in own[1:]]
+    assert host_pages(spark, [f"<article><h1>{title}</h1><p>{own[0]}</p></article>", *ads]) == {0: f"{title}\n{own[0]}"} | dict(enumerate(own[1:], 1))

@@ -6,9 +6,10 @@ an open heading of the first level. A page with a main block keeps its main bloc
 open blocks and headings.
 
 The blocks of a host's pages, all of them, are concatenated as tokens and sorted as suffixes, by prefix doubling up to
-RUN tokens. A run of RUN tokens or more that stands on enough distinct pages of the host is boilerplate where markup says
-nothing: open blocks lose the tokens it covers and keep their unique runs. Enough is MIN_PAGES, or the logarithm to base 2
-of the host's distinct pages if that is more. What markup calls the article stays whole, as articles may be copied or quoted.
+RUN tokens. A run of RUN tokens or more that stands on enough distinct pages of the host is boilerplate: blocks lose the
+tokens it covers and keep their unique runs. In open blocks, where markup says nothing, enough is MIN_PAGES, or the logarithm
+to base 2 of the host's distinct pages if that is more. What markup calls the article may be quoted by other pages; main
+blocks lose what stands, besides, outside chrome on more than half of the host's distinct pages.
 
 Copies don't erase each other: pages with the same text outside chrome are one page, and a page of whose text less than
 1 / OWN_PART is its own, in no run of another page of the host, is a near copy; near copies that hold a run count as one
@@ -197,12 +198,13 @@ class Shard(NamedTuple):
     kind: np.ndarray  # of each token's block
     run: np.ndarray  # number of the run that starts at each token, -1 for none
     held: tuple[np.ndarray, np.ndarray]  # the distinct (run, page)
+    clear: np.ndarray  # of each of these, whether the run stands outside chrome there
     runs: int
     pages: int
 
-    def count(self, chosen: np.ndarray) -> np.ndarray:
-        """On how many of the chosen pages each run stands."""
-        return np.bincount(self.held[0][chosen[self.held[1]]], minlength=self.runs)
+    def count(self, chosen: np.ndarray, clear: bool = False) -> np.ndarray:
+        """On how many of the chosen pages each run stands, or stands outside chrome."""
+        return np.bincount(self.held[0][chosen[self.held[1]] & (self.clear | (not clear))], minlength=self.runs)
 
     def covered(self, chosen: np.ndarray) -> np.ndarray:
         """The tokens that the chosen runs cover."""
@@ -228,7 +230,7 @@ def shard_of(raw: np.ndarray, edges: np.ndarray, kinds: list[np.ndarray]) -> Sha
     block = line[begin] - line[edges[page]]
     run, none = np.full(len(page), -1), np.zeros(0, np.int64)
     if not len(page):
-        return Shard(page, block, none, run, (none, none), 0, pages)
+        return Shard(page, block, none, run, (none, none), none > 0, 0, pages)
     first_block = np.cumsum([0, *map(len, kinds)])
     kind = np.concatenate(kinds)[first_block[page] + block]
     edge = np.searchsorted(page, np.arange(len(edges)))
@@ -236,11 +238,14 @@ def shard_of(raw: np.ndarray, edges: np.ndarray, kinds: list[np.ndarray]) -> Sha
     whole = np.arange(len(page)) + RUN <= edge[page + 1]
     order = order[whole[order]]
     if not len(order):
-        return Shard(page, block, kind, run, (none, none), 0, pages)
+        return Shard(page, block, kind, run, (none, none), none > 0, 0, pages)
     group = np.cumsum(np.concatenate(([0], (rank[order][1:] != rank[order][:-1]).astype(np.int64))))
     run[order] = group
-    pair = np.unique(group * pages + page[order])
-    return Shard(page, block, kind, run, (pair // pages, pair % pages), int(group[-1]) + 1, pages)
+    pair, at = np.unique(group * pages + page[order], return_inverse=True)
+    chrome = np.cumsum(np.concatenate(([0], kind == CHROME)))
+    clear = np.zeros(len(pair), bool)
+    clear[at[chrome[order + RUN] == chrome[order]]] = True
+    return Shard(page, block, kind, run, (pair // pages, pair % pages), clear, int(group[-1]) + 1, pages)
 
 
 def first_of(key: np.ndarray) -> np.ndarray:
@@ -255,22 +260,32 @@ def least_pages(pages: int) -> int:
     return max(MIN_PAGES, (pages - 1).bit_length())
 
 
+def boilerplate_runs(on: np.ndarray, clear: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether open and whether main blocks lose the runs that stand on so many of a host's distinct pages, on so many outside chrome."""
+    return on >= least_pages(pages), (clear >= least_pages(pages)) & (2 * clear > pages)
+
+
+def gone(shard: Shard, from_open: np.ndarray, from_main: np.ndarray) -> np.ndarray:
+    """The tokens that blocks lose."""
+    return shard.covered(from_open) & (shard.kind == OPEN) | shard.covered(from_main) & (shard.kind == MAIN)
+
+
 def boilerplate(shard: Shard, key: np.ndarray) -> np.ndarray:
-    """The tokens of a whole host that its open blocks lose."""
+    """The tokens of a whole host that its blocks lose."""
     first = first_of(key)
     fresh = shard.fresh(shard.count(first) > 1)
-    on = shard.count(first & fresh) + (shard.count(~fresh) > 0)
+    on, clear = (shard.count(first & fresh, c) + (shard.count(~fresh, c) > 0) for c in (False, True))
     pages = int((first & fresh).sum()) + bool((~fresh).any())
-    return shard.covered(on >= least_pages(pages)) & (shard.kind == OPEN)
+    return gone(shard, *boilerplate_runs(on, clear, pages))
 
 
 def _extract(table: pa.Table) -> pa.Table:
     kinds = [np.frombuffer(k.as_buffer(), np.uint8) if k.is_valid else np.zeros(0, np.uint8) for k in table["kinds"]]
     shard = shard_of(*texts(table["blocks"]), kinds)
-    page, block, gone = shard.page, shard.block, boilerplate(shard, table["key"].to_numpy())
+    page, block, lost_tokens = shard.page, shard.block, boilerplate(shard, table["key"].to_numpy())
     lost: dict[tuple[int, int], list[int]] = {}
     first = np.searchsorted(page * (1 << 32) + block, page * (1 << 32) + block)  # of each token's block
-    for i in np.flatnonzero(gone).tolist():
+    for i in np.flatnonzero(lost_tokens).tolist():
         lost.setdefault((int(page[i]), int(block[i])), []).append(i - int(first[i]))
     out = []
     for p, (text, kind) in enumerate(zip(table["blocks"], kinds)):
