@@ -327,3 +327,15 @@ def test_html_line_within_articles(spark):
     title = prose("title", 10)
     ads = [f"<div class='ad'>{title}</div><article><p>{t}</p></article>" for t in own[1:]]
     assert host_pages(spark, [f"<article><h1>{title}</h1><p>{own[0]}</p></article>", *ads]) == {0: f"{title}\n{own[0]}"} | dict(enumerate(own[1:], 1))
+
+
+def test_html_large_host_is_judged_as_a_whole(spark, monkeypatch):
+    line, notice, copied = prose("line", 14), prose("notice", 12), prose("copied", 50)
+    own = [prose(f"page {i}", 25) for i in range(300)]
+    bodies = [f"<p>{t}</p>" + (f"<p>{notice}</p>" if i % 25 == 0 else "") for i, t in enumerate(own)]
+    bodies += [f"<nav>{prose(f'menu {i}', 9)}</nav><p>{copied}</p>" for i in range(30)]
+    bodies += [f"<article><p>{prose(f'main {i}', 25)}</p><p>{line}</p></article>" for i in range(400)]
+    whole = host_pages(spark, bodies)
+    monkeypatch.setattr(html_boilerplate, "SHARD_PAGES", 32)  # more shards than pages with the notice
+    assert host_pages(spark, bodies) == whole
+    assert whole[0] == own[0] and whole[300] == copied and whole[330] == prose("main 0", 25)

@@ -16,7 +16,9 @@ Copies don't erase each other: pages with the same text outside chrome are one p
 page for it. So boilerplate stays on a host whose pages are nearly all near copies.
 
 A host's pages are sorted in shards of about SHARD_PAGES pages, dealt by a hash of the page, which bounds a task
-however large a host is; a template stands on most pages of its host and so shows in every shard.
+however large a host is. A host of several shards is judged as a whole all the same: its shards exchange 64-bit hashes of
+their runs, first with the distinct pages that hold each, to tell which runs two pages share and so which pages are near
+copies, then, of the shared runs, with the pages that count. Equal texts count in the shard of the smallest number.
 
 A null html is empty, its text is the empty string. A null or odd url is a host of its own name. A null id passes
 through, and rows that repeat a page are copies. Columns besides id, url and html are left out.
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._spark import stored
-from tidemark.llm._words import texts, words
+from tidemark.llm._words import rolling, texts, words
 
 RUN = 8
 MIN_PAGES = 3
@@ -148,22 +150,22 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return out
 
 
-def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, host, the blocks' texts joined by line feeds, their kinds, a byte each, and a hash of the text outside chrome."""
+def parse(pages: DataFrame) -> DataFrame:
+    """The columns but html, the blocks' texts joined by line feeds, their kinds, a byte each, and a hash of the text outside chrome."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [blocks(x.as_py() or "") for x in part.column(2)]
+                found = [blocks(x.as_py() or "") for x in part.column("html")]
                 text, kinds = ["\n".join(t for _, t in f) for f in found], [bytes(k for k, _ in f) for f in found]
                 own = [blake2b(" ".join(t for k, t in f if k != CHROME).encode(), digest_size=8).digest() for f in found]
                 key = pa.array(np.frombuffer(b"".join(own), np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text), pa.array(kinds, pa.binary()), key], ["page_id", "url", "blocks", "kinds", "key"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(text), pa.array(kinds, pa.binary()), key], [*kept, "blocks", "kinds", "key"])
 
-    chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    parsed = chosen.mapInArrow(run, "page_id long, url string, blocks string, kinds binary, key long")
-    return parsed.withColumn("host", host(F.col("url")))
+    kept = [c for c in pages.columns if c != "html"]
+    schema = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in kept)
+    return pages.mapInArrow(run, f"{schema}, blocks string, kinds binary, key long")
 
 
 def host(url):
@@ -199,9 +201,13 @@ class Shard(NamedTuple):
     run: np.ndarray  # number of the run that starts at each token, -1 for none
     held: tuple[np.ndarray, np.ndarray]  # the distinct (run, page)
     clear: np.ndarray  # of each of these, whether the run stands outside chrome there
-    runs: int
+    hashes: np.ndarray  # of each run, 64 bits
     pages: int
 
+    @property
+    def runs(self) -> int:
+        return len(self.hashes)
+
     def count(self, chosen: np.ndarray, clear: bool = False) -> np.ndarray:
         """On how many of the chosen pages each run stands, or stands outside chrome."""
         return np.bincount(self.held[0][chosen[self.held[1]] & (self.clear | (not clear))], minlength=self.runs)
@@ -222,30 +228,36 @@ class Shard(NamedTuple):
         return (total > 0) & (own * OWN_PART >= total)
 
 
-def shard_of(raw: np.ndarray, edges: np.ndarray, kinds: list[np.ndarray]) -> Shard:
-    """The runs of a shard, told apart by its suffix array."""
+def shard_of(raw: np.ndarray, edges: np.ndarray, kinds: list[np.ndarray], sort: bool = True) -> Shard:
+    """The runs of a shard, told apart by its suffix array; without `sort` by their hashes, where these have been exchanged."""
     pages = len(edges) - 1
     page, begin, _, token = words(raw, edges)
     line = np.concatenate(([0], np.cumsum(raw == 10)))
     block = line[begin] - line[edges[page]]
     run, none = np.full(len(page), -1), np.zeros(0, np.int64)
     if not len(page):
-        return Shard(page, block, none, run, (none, none), none > 0, 0, pages)
+        return Shard(page, block, none, run, (none, none), none > 0, none, pages)
     first_block = np.cumsum([0, *map(len, kinds)])
     kind = np.concatenate(kinds)[first_block[page] + block]
     edge = np.searchsorted(page, np.arange(len(edges)))
-    order, rank = suffix_order(token, edge[page + 1], RUN)
     whole = np.arange(len(page)) + RUN <= edge[page + 1]
-    order = order[whole[order]]
-    if not len(order):
-        return Shard(page, block, kind, run, (none, none), none > 0, 0, pages)
-    group = np.cumsum(np.concatenate(([0], (rank[order][1:] != rank[order][:-1]).astype(np.int64))))
+    if not whole.any():
+        return Shard(page, block, kind, run, (none, none), none > 0, none, pages)
+    rolled = rolling(token, RUN).view(np.int64)
+    if sort:
+        order, rank = suffix_order(token, edge[page + 1], RUN)
+        order = order[whole[order]]
+        first = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
+        group, hashes = np.cumsum(first) - 1, rolled[order[first]]
+    else:
+        order = np.flatnonzero(whole)
+        hashes, group = np.unique(rolled[order], return_inverse=True)
     run[order] = group
     pair, at = np.unique(group * pages + page[order], return_inverse=True)
     chrome = np.cumsum(np.concatenate(([0], kind == CHROME)))
     clear = np.zeros(len(pair), bool)
     clear[at[chrome[order + RUN] == chrome[order]]] = True
-    return Shard(page, block, kind, run, (pair // pages, pair % pages), clear, int(group[-1]) + 1, pages)
+    return Shard(page, block, kind, run, (pair // pages, pair % pages), clear, hashes, pages)
 
 
 def first_of(key: np.ndarray) -> np.ndarray:
@@ -270,19 +282,120 @@ def gone(shard: Shard, from_open: np.ndarray, from_main: np.ndarray) -> np.ndarr
     return shard.covered(from_open) & (shard.kind == OPEN) | shard.covered(from_main) & (shard.kind == MAIN)
 
 
-def boilerplate(shard: Shard, key: np.ndarray) -> np.ndarray:
-    """The tokens of a whole host that its blocks lose."""
-    first = first_of(key)
-    fresh = shard.fresh(shard.count(first) > 1)
-    on, clear = (shard.count(first & fresh, c) + (shard.count(~fresh, c) > 0) for c in (False, True))
-    pages = int((first & fresh).sum()) + bool((~fresh).any())
-    return gone(shard, *boilerplate_runs(on, clear, pages))
+def votes(shard: Shard, first: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct pages but near copies hold each run, and hold it outside chrome, then whether near copies do; and
+    both of all pages. The `first` of each text counts."""
+    fresh = shard.fresh(shared)
+    held = np.array([shard.count(first & fresh), shard.count(first & fresh, True), shard.count(~fresh) > 0, shard.count(~fresh, True) > 0], np.int64)
+    return held, np.array([(first & fresh).sum(), (~fresh).any()], np.int64)
+
 
+def judged(held: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether open and whether main blocks lose runs, by the sums of a host's votes."""
+    return boilerplate_runs(held[0] + (held[2] > 0), held[1] + (held[3] > 0), int(pages[0] + (pages[1] > 0)))
 
-def _extract(table: pa.Table) -> pa.Table:
+
+def _shard(table: pa.Table, sort: bool = True) -> tuple[Shard, list[np.ndarray]]:
     kinds = [np.frombuffer(k.as_buffer(), np.uint8) if k.is_valid else np.zeros(0, np.uint8) for k in table["kinds"]]
-    shard = shard_of(*texts(table["blocks"]), kinds)
-    page, block, lost_tokens = shard.page, shard.block, boilerplate(shard, table["key"].to_numpy())
+    return shard_of(*texts(table["blocks"]), kinds, sort), kinds
+
+
+def _told(news: pa.Table, what: int) -> np.ndarray:
+    """All numbers that a shard was told under a heading."""
+    found = [x.values.to_numpy() for x, w in zip(news["numbers"], news["what"].to_pylist()) if w == what]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _numbers(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.LargeListArray.from_arrays(ends, np.concatenate([*rows, np.zeros(0, np.int64)])).cast(pa.list_(pa.int64()))
+
+
+def _packed(rows: Iterable[np.ndarray]) -> pa.Array:
+    """64-bit numbers, all first bytes before all second ones, as those of ascending numbers or small counts compress."""
+    return pa.array([np.ascontiguousarray(r, ">i8").view(np.uint8).reshape(-1, 8).T.tobytes() for r in rows], pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(">i8").ravel().astype(np.int64) for x in column]
+
+
+TEXTS, SHARED, FROM_OPEN, FROM_MAIN = 0, 1, 2, 3
+_NEWS = "host string, shard int, what int, numbers array<bigint>"
+_SENT = "host string, shard int, bucket int, hashes binary, counts binary, pages binary"
+
+
+def _dealt(table: pa.Table, shard: Shard, chosen: np.ndarray, counts: np.ndarray, pages: np.ndarray) -> pa.Table:
+    """The chosen runs of a shard with their counts, a row a bucket; every bucket of the host gets one."""
+    host, number, buckets = table["host"][0].as_py(), table["shard"][0].as_py(), table["shards"][0].as_py()
+    order = np.argsort(shard.hashes[chosen])
+    chosen, counts = chosen[order], counts[:, order]
+    bucket = shard.hashes[chosen].view(np.uint64) % np.uint64(buckets)
+    at = [np.flatnonzero(bucket == k) for k in range(buckets)]
+    return pa.table({
+        "host": [host] * buckets, "shard": pa.array([number] * buckets, pa.int32()), "bucket": pa.array(range(buckets), pa.int32()),
+        "hashes": _packed(shard.hashes[chosen[a]] for a in at), "counts": _packed(counts[:, a].reshape(-1) for a in at), "pages": _packed([pages] * buckets),
+    })
+
+
+def _hold(table: pa.Table, news: pa.Table) -> pa.Table:
+    """The runs of a shard with the number of distinct pages, of the texts that count here."""
+    if not table.num_rows:
+        return pa.table({"host": pa.array([], pa.string()), "shard": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "hashes": _packed([]), "counts": _packed([]), "pages": _packed([])})
+    shard, key = _shard(table)[0], table["key"].to_numpy()
+    return _dealt(table, shard, np.arange(shard.runs), shard.count(first_of(key) & np.isin(key, _told(news, TEXTS)))[None], np.zeros(0, np.int64))
+
+
+def _vote(table: pa.Table, news: pa.Table) -> pa.Table:
+    """The shared runs of a shard with its votes."""
+    if not table.num_rows:
+        return _hold(table, news)
+    shard, key = _shard(table, sort=False)[0], table["key"].to_numpy()
+    shared = np.isin(shard.hashes, _told(news, SHARED))
+    held, pages = votes(shard, first_of(key) & np.isin(key, _told(news, TEXTS)), shared)
+    return _dealt(table, shard, np.flatnonzero(shared), held[:, shared], pages)
+
+
+def _summed(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Where each shard's hashes are among a bucket's distinct ones, the sums of their counts, and of the pages."""
+    hashes = _unpacked(table["hashes"])
+    at = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    counts = np.concatenate([x.reshape(width, -1) for x in _unpacked(table["counts"])], axis=1)
+    total = np.array([np.bincount(at, c, int(at.max(initial=-1)) + 1) for c in counts]).astype(np.int64)
+    return np.split(at, np.cumsum([len(h) for h in hashes])[:-1]), total, np.sum(_unpacked(table["pages"]), axis=0)
+
+
+def _news(table: pa.Table, verdicts: dict[int, np.ndarray], at: list[np.ndarray]) -> pa.Table:
+    """To each shard, those of its runs that a verdict holds for."""
+    n = len(at) * len(verdicts)
+    return pa.table({
+        "host": [table["host"][0].as_py()] * n, "shard": pa.array(table["shard"].to_pylist() * len(verdicts), pa.int32()), "what": pa.array([w for w in verdicts for _ in at], pa.int32()),
+        "numbers": _numbers([h[v[a]] for v in verdicts.values() for h, a in zip(_unpacked(table["hashes"]), at)]),
+    })
+
+
+def _share(table: pa.Table) -> pa.Table:
+    at, total, _ = _summed(table, 1)
+    return _news(table, {SHARED: total[0] > 1}, at)
+
+
+def _judge(table: pa.Table) -> pa.Table:
+    at, total, pages = _summed(table, 4)
+    from_open, from_main = judged(total, pages)
+    return _news(table, {FROM_OPEN: from_open, FROM_MAIN: from_main}, at)
+
+
+def _extract(table: pa.Table, news: pa.Table) -> pa.Table:
+    if not table.num_rows:
+        return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+    alone = table["shards"][0].as_py() == 1
+    shard, kinds = _shard(table, sort=alone)
+    if alone:
+        first = first_of(table["key"].to_numpy())
+        verdict = judged(*votes(shard, first, shard.count(first) > 1))
+    else:
+        verdict = np.isin(shard.hashes, _told(news, FROM_OPEN)), np.isin(shard.hashes, _told(news, FROM_MAIN))
+    page, block, lost_tokens = shard.page, shard.block, gone(shard, *verdict)
     lost: dict[tuple[int, int], list[int]] = {}
     first = np.searchsorted(page * (1 << 32) + block, page * (1 << 32) + block)  # of each token's block
     for i in np.flatnonzero(lost_tokens).tolist():
@@ -309,6 +422,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url and text of every page."""
     size = pages.select(host(F.col(url_col)).alias("host")).groupBy("host").agg(F.count("*").alias("n"))
     large = stored(size.where(F.col("n") > SHARD_PAGES).select("host", F.ceil(F.col("n") / SHARD_PAGES).cast("int").alias("shards")), "large-hosts")
-    parsed = parse(pages, id_col, url_col, html_col).join(large, "host", "left")  # Spark broadcasts `large` if its files are small
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)))
-    return parsed.withColumn("shard", shard).groupBy("host", "shard").applyInArrow(_extract, "page_id long, url string, text string")
+    chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
+    dealt = chosen.join(large, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))  # Spark broadcasts `large` if its files are small
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), "shards").cast("int"))
+
+    parsed, several, by = parse(dealt), parse(dealt.where("shards > 1").withColumn("url", F.lit(""))), ("host", "shard")
+    owned = several.groupBy("host", "key").agg(F.min("shard").alias("shard")).select(*by, F.lit(TEXTS).alias("what"), F.array("key").alias("numbers"))
+
+    # toDF gives the news columns of their own, where both sides come from the same pages
+    def told(shards: DataFrame, news: DataFrame, f, schema: str) -> DataFrame:
+        return shards.groupBy(*by).cogroup(news.toDF(*news.columns).groupBy(*by)).applyInArrow(f, schema)
+
+    held = told(several, owned, _hold, _SENT)
+    shared = stored(held.groupBy("host", "bucket").applyInArrow(_share, _NEWS), "shared-runs")
+    voted = told(several, owned.unionByName(shared), _vote, _SENT)
+    verdicts = stored(voted.groupBy("host", "bucket").applyInArrow(_judge, _NEWS), "boilerplate-runs")
+    return told(parsed, verdicts, _extract, "page_id long, url string, text string")
