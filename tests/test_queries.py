@@ -34,3 +34,14 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(names) == columns
     theirs = sorted((tuple(norm(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
     assert mine == theirs
+
+
+@pytest.mark.parametrize("name", ["order_nulls_all", "order_nulls_desc_all"])
+def test_all_rows_are_in_order(spark, duck, name):
+    mine, theirs = [tuple(r) for r in Q.QUERIES[name](spark, SF).collect()], duck.execute(Q.ORACLE_SQL[name]).fetchall()
+    assert mine == theirs and len(mine) == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
+
+
+def test_unknown_versions_are_met(spark):
+    assert Q.QUERIES["vfk_join_cascade_all"](spark, SF).where("as_of IS NULL").count() > 0
+    assert Q.QUERIES["vfk_join_version_all"](spark, SF).where("l_linenumber % 4 <> 1 AND l_orderkey % 3 <> 0").count() > 0

@@ -111,6 +111,7 @@ _sql("join_inner", "SELECT o.o_orderkey, c.c_name FROM {orders} o JOIN {customer
 _sql("join_left_null", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000")
 _sql("join_right", "SELECT o.o_orderkey, c.c_custkey FROM {orders} o RIGHT JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE c.c_nationkey < 5")
 _sql("join_right_filter", "SELECT o.o_orderkey, l.l_linenumber FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey WHERE l.l_quantity > 40 AND o.o_orderkey < 500")
+_sql("join_right_filter_all", "SELECT o.o_orderkey, l.l_linenumber FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey WHERE l.l_quantity > 40")
 _sql("join_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n")
 _sql("join_multiway", """
     SELECT r.r_name, COUNT(*) AS n FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey
@@ -133,6 +134,15 @@ def cross_domain_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.sql(spark, "IMPORT crm.customer AS c2; SELECT o.o_orderkey, c.c_name FROM orders o JOIN c2 c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey < 100", ["sales"])
 
 
+@_query("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+def cross_domain_import_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cross_domain_import over all orders."""
+    from tidemark.plans.names import Domains
+
+    names = Domains({"sales": {"orders": _read(spark, sf_dir, "orders")}, "crm": {"customer": _read(spark, sf_dir, "customer")}})
+    return names.sql(spark, "IMPORT crm.customer AS c2; SELECT o.o_orderkey, c.c_name FROM orders o JOIN c2 c ON o.o_custkey = c.c_custkey", ["sales"])
+
+
 # Aggregation
 _sql("agg_basic", """
     SELECT l_returnflag, l_linestatus, COUNT(*) AS n, COUNT(l_discount) AS n_discount, ROUND(SUM(l_quantity), 2) AS qty,
@@ -169,6 +179,10 @@ _sql("order_nulls", "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {la
      "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id LIMIT 50")
 _sql("order_nulls_desc", "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id ORDER BY l.quality DESC, d.doc_id DESC LIMIT 50",
      "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS LAST, d.doc_id DESC LIMIT 50")
+_sql("order_nulls_all", "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id ORDER BY l.quality, d.doc_id",
+     "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id")
+_sql("order_nulls_desc_all", "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id ORDER BY l.quality DESC, d.doc_id DESC",
+     "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS LAST, d.doc_id DESC")
 _sql("topk", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 _sql("range_order_limit", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderkey >= 900 ORDER BY o_orderkey LIMIT 100")
 _sql("limit_offset", "SELECT c_custkey FROM {customer} ORDER BY c_acctbal, c_custkey LIMIT 10 OFFSET 20")
@@ -351,11 +365,23 @@ def vfk_join_lsn(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber % 4 = 1 OR (o.o_orderkey % 3 = 0)""")
 def vfk_join_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line with its order at version 1 or 2 of the order's entity."""
+    return _lines_at_version(spark, sf_dir, _read(spark, sf_dir, "lineitem").where((F.col("l_linenumber") % 4 == 1) | (F.col("l_orderkey") % 3 == 0)))
+
+
+@_query("""
+    SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, CASE WHEN l.l_linenumber % 4 <> 1 THEN CASE WHEN o.o_orderkey % 3 = 0 THEN o.o_orderstatus ELSE 'N' END END AS o_orderstatus,
+           CASE WHEN l.l_linenumber % 4 = 1 THEN 'N' END AS first_status
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber % 4 = 1 OR o.o_orderkey % 3 = 0 OR o.o_orderkey % 10 <> 0""")
+def vfk_join_version_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vfk_join_version over all lines: an order without a second version is as it is now, one deleted by it isn't there."""
+    return _lines_at_version(spark, sf_dir, _read(spark, sf_dir, "lineitem"))
+
+
+def _lines_at_version(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     log = S.orders_log(_read(spark, sf_dir, "orders"))
     numbers = entity.versions(entity.touches(log, "orders"))
     wanted = F.when(F.col("l_linenumber") % 4 == 1, 1).otherwise(2)
-    base = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").where((F.col("l_linenumber") % 4 == 1) | (F.col("l_orderkey") % 3 == 0))
-    at = asof.with_entity_lsn(base, numbers, F.col("l_orderkey"), wanted)
+    at = asof.with_entity_lsn(lines.select("l_orderkey", "l_linenumber", "l_partkey"), numbers, F.col("l_orderkey"), wanted)
     status = asof.as_of_join(at, state.intervals(log), F.col("l_orderkey"), F.col("__as_of_lsn")).withColumn("s", F.col("version.row.o_orderstatus"))
     first = F.col("l_linenumber") % 4 == 1
     return status.select("l_orderkey", "l_linenumber", "l_partkey", F.when(~first, F.col("s")).alias("o_orderstatus"), F.when(first, F.col("s")).alias("first_status"))
@@ -366,9 +392,21 @@ def vfk_join_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey % 3 = 0""")
 def vfk_join_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order at its entity's second version, and the customer as of the same commit."""
+    return _orders_at_version(spark, sf_dir, _read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"))
+
+
+@_query("""
+    SELECT o.o_orderkey, CASE WHEN o.o_orderkey % 3 = 0 THEN 1000000 + o.o_orderkey END AS as_of, CASE WHEN o.o_orderkey % 3 = 0 THEN o.o_orderstatus ELSE 'N' END AS o_orderstatus,
+           c.c_name || CASE WHEN o.o_orderkey % 3 <> 0 OR c.c_custkey <= o.o_orderkey THEN '*' ELSE '' END AS c_name
+    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey % 3 = 0 OR o.o_orderkey % 10 <> 0""")
+def vfk_join_cascade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vfk_join_cascade over all orders: without a second version, order and customer are as they are now."""
+    return _orders_at_version(spark, sf_dir, _read(spark, sf_dir, "orders"))
+
+
+def _orders_at_version(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     log = S.orders_log(_read(spark, sf_dir, "orders"))
-    base = _read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey")
-    at = asof.with_entity_lsn(base, entity.versions(entity.touches(log, "orders")), F.col("o_orderkey"), F.lit(2))
+    at = asof.with_entity_lsn(orders.select("o_orderkey"), entity.versions(entity.touches(log, "orders")), F.col("o_orderkey"), F.lit(2))
     order = asof.as_of_join(at, state.intervals(log), F.col("o_orderkey"), F.col("__as_of_lsn")).select("o_orderkey", "__as_of_lsn", "version.row.o_orderstatus", "version.row.o_custkey")
     customers = state.intervals(S.customers_log(_read(spark, sf_dir, "customer")))
     both = asof.as_of_join(order, customers, F.col("o_custkey"), F.col("__as_of_lsn"))
@@ -466,6 +504,12 @@ def check_unique_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.unique_violations(_batch(spark, sf_dir), "k", held)
 
 
+@_query(f"SELECT k, '23505' AS sqlstate FROM (SELECT k, count(*) AS n FROM {_B} WHERE k IS NOT NULL GROUP BY k) WHERE n > 1 OR k IN (SELECT o_orderkey FROM orders)")
+def check_unique_state_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """check_unique_state against all orders."""
+    return constraints.unique_violations(_batch(spark, sf_dir), "k", _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
+
+
 @_query(f"SELECT k, c, price, '23503' AS sqlstate FROM {_B} WHERE c = 999999999")
 def check_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.foreign_key_violations(_batch(spark, sf_dir), "c", _read(spark, sf_dir, "customer").unionByName(_read(spark, sf_dir, "orders").selectExpr("o_custkey AS c_custkey", "'' AS c_name", "0 AS c_nationkey", "0D AS c_acctbal", "'' AS c_mktsegment")), "c_custkey")
