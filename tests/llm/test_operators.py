@@ -339,3 +339,15 @@ def test_html_large_host_is_judged_as_a_whole(spark, monkeypatch):
     monkeypatch.setattr(html_boilerplate, "SHARD_PAGES", 32)  # more shards than pages with the notice
     assert host_pages(spark, bodies) == whole
     assert whole[0] == own[0] and whole[300] == copied and whole[330] == prose("main 0", 25)
+
+
+def test_top_k_with_repeated_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in (50, 50, 51, 52, 53, 54, 55)] + [(7, [3.0, 0.5])] * 2 + [(8, [0.5, 0.25])] * 8
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = topk_cover_tree.top_k(df, df.where("vec_id IN (50, 7)"), 5).collect()
+    want = []
+    for q, v in rows:
+        if q in (50, 7):
+            scored = sorted((-int(65536 * sum(a * b for a, b in zip(v, w))), i) for i, w in rows if i != q)[:5]
+            want += [(q, n, i, -score) for n, (score, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -188,30 +188,37 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"])
 
 
-def _thinned(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal vectors, those with the `keep` smallest ids."""
+def _thinned(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors, those with the k + 1 smallest different ids, at most k of each: a query excludes all rows of one id."""
     key = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * 8))).ravel()
     _, group = np.unique(key, return_inverse=True)
     by = np.lexsort((ids, group))
-    ordered = group[by]
-    place = np.arange(len(by)) - np.searchsorted(ordered, ordered)
-    chosen = np.sort(by[place < keep])
+    ordered, name = group[by], ids[by]
+    fresh = np.concatenate(([True], (ordered[1:] != ordered[:-1]) | (name[1:] != name[:-1])))[: len(by)]
+    different = np.cumsum(fresh)
+    different = different - different[np.searchsorted(ordered, ordered)]
+    copy = np.arange(len(by)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    chosen = np.sort(by[(different <= k) & (copy < k)])
     return ids[chosen], x[chosen]
 
 
 def top_k(
     candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """The k candidates of highest inner product for each query: query_id, rank (from 1), vec_id, score."""
+    """The k candidates of highest inner product for each query: query_id, rank (from 1), vec_id, score.
+
+    Rows that repeat an id are queries and candidates of their own; a query excludes all candidates of its id.
+    """
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[str, tuple[np.ndarray, Tree, Best]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for ids, _, best in state.values():
+            for part, (ids, _, best) in state.items():
                 full = best.id != np.iinfo(np.int64).max
-                who = np.repeat(ids, full.sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(best.id[full]), pa.array(best.score[full])], ["query_id", "vec_id", "score"])
+                at = np.repeat(np.arange(len(ids), dtype=np.int32), full.sum(1))
+                columns = [pa.array([part] * len(at), pa.string()), pa.array(at), pa.array(ids[at]), pa.array(best.id[full]), pa.array(best.score[full])]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "row", "query_id", "vec_id", "score"])
             state.clear()
 
         for batch in batches:
@@ -222,7 +229,7 @@ def top_k(
                     ids, x = _unpack(block)
                     state[block["part"]] = ids, Tree(x), Best(len(ids), k)
                 query_ids, tree, best = state[block["part"]]
-                ids, x = _thinned(*_unpack(row["shard"]), k + 1)
+                ids, x = _thinned(*_unpack(row["shard"]), k)
                 search(tree, query_ids, Tree(x), ids, best)
         yield from flush()
 
@@ -232,8 +239,8 @@ def top_k(
     pairs = whole(shards, "shard").join(whole(blocks, "block"), "dim").select("shard", "block")
     n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.repartition(n, F.col("block.part"), F.pmod(F.xxhash64("shard.part"), F.lit(n)))
-    found = pairs.sortWithinPartitions("block.part").mapInArrow(met, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.sortWithinPartitions("block.part").mapInArrow(met, "part string, row int, query_id long, vec_id long, score long")
+    best = Window.partitionBy("part", "row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
