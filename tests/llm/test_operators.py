@@ -351,3 +351,26 @@ def test_top_k_with_repeated_ids(spark):
             scored = sorted((-int(65536 * sum(a * b for a, b in zip(v, w))), i) for i, w in rows if i != q)[:5]
             want += [(q, n, i, -score) for n, (score, i) in enumerate(scored, 1)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_language_id_learns_from_long_strings(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    vocabulary, rng = langid.vocabulary(path), random.Random(3)
+    chance = np.random.default_rng(0).random(vocabulary.size)
+    word = langid.shaped("thequickbrownfox")
+    how = vocabulary.lattice(word), len(word), chance / chance.sum()
+    assert [p for p, _ in langid.expected_long(*how)] == [p for p, _ in langid.expected(*how)]
+    assert np.allclose([x for _, x in langid.expected_long(*how)], [x for _, x in langid.expected(*how)])
+    word = langid.shaped("".join(rng.choices("abcdefgh", k=5000)))
+    got = langid.expected_long(vocabulary.lattice(word), len(word), chance / chance.sum())
+    covered = np.zeros(len(word))
+    for (i, j, _), (_, x) in zip(vocabulary.lattice(word), got):
+        covered[i:j] += x
+    assert np.allclose(covered, 1)
+    # Languages written without spaces: each text is one string.
+    text = lambda letters: "".join(rng.choices(letters, k=300))
+    rows = [(i, text(letters), lang) for i, (lang, letters) in enumerate([("xa", "的一是不了人我在有他"), ("xb", "这中大来上国个到说们")] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.where("doc_id < 30"), path)
+    told = langid.predict(df.where("doc_id >= 30"), model).collect()
+    assert len(told) == 10 and all(r.lang_pred == r.lang for r in told)

@@ -14,6 +14,7 @@ inputs of a prediction. Ties go to the language that sorts first. Repeated rows
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -130,6 +131,34 @@ def expected(lattice: list[tuple[int, int, int]], n: int, chance: np.ndarray) ->
     return [(p, alpha[i] * c * beta[j] / total) for i, j, p, c in weight] if 0 < total < float("inf") else []
 
 
+def _swept(arcs: list[tuple[int, int, float]], n: int) -> tuple[list[float], list[float]]:
+    """The summed weight of all paths from 0 to each position over arcs in order of their start, and the logarithm it lacks."""
+    value, lacks, reach = [1.0] + [0.0] * n, [0.0] * (n + 1), max(j - i for i, j, _ in arcs)
+    at = done = 0
+    total = 0.0
+    for i, j, c in arcs:
+        if i != at:
+            at = i
+            if i - done >= 8:
+                done, most = i, value[i]
+                total += math.log(most)
+                for k in range(i, min(n, i + reach) + 1):
+                    value[k] /= most
+            lacks[i] = total
+        value[j] += value[i] * c
+    lacks[n] = total
+    return value, lacks
+
+
+def expected_long(lattice: list[tuple[int, int, int]], n: int, chance: np.ndarray) -> list[tuple[int, float]]:
+    """The same for one long string, rescaled as it goes."""
+    arcs = [(i, j, float(chance[p])) for i, j, p in lattice]
+    alpha, up = _swept(arcs, n)
+    beta, down = _swept(sorted((n - j, n - i, c) for i, j, c in arcs), n)
+    whole = up[n] + math.log(alpha[n])
+    return [(p, alpha[i] * c * beta[n - j] * math.exp(up[i] + down[n - j] - whole)) for (i, j, c), (_, _, p) in zip(arcs, lattice)]
+
+
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (language, word) within a batch."""
     for batch in batches:
@@ -171,9 +200,9 @@ def train(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
             for batch in batches:
                 for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
                     word = shaped(word)
-                    if word and len(word) <= SHORT_WORD:  # longer strings aren't words to learn from
-                        k = place[lang]
-                        for p, x in expected(own.lattice(word), len(word), now[:, k]):
+                    if word:
+                        k, counted_in = place[lang], expected if len(word) <= SHORT_WORD else expected_long
+                        for p, x in counted_in(own.lattice(word), len(word), now[:, k]):
                             total[k, p] = total.get((k, p), 0.0) + n * x
             columns = [pa.array([k for k, _ in total], pa.int32()), pa.array([p for _, p in total], pa.int32()), pa.array(list(total.values()), pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["k", "p", "n"])
