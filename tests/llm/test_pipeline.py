@@ -26,3 +26,23 @@ def test_stages_keep_and_drop(spark, tmp_path):
     assert judged >= 0.95 * clean
     assert last.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert P.quality_rules(spark, last.limit(0), SF).count() == 0
+
+
+def test_repeated_passages_by_brute_force(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = {
+        1: words[:120], 2: words[20:75] + ["own", "end"], 3: words[60:110], 4: ["x"] + words[0:49] + ["y"], 5: words[200:260] * 2, 6: words[205:255] + ["z"],
+        7: words[0:60] + ["gap"] + words[60:115] + ["tail"],
+    }
+    first, want = {}, {}
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    for i, w in texts.items():
+        gone = {k + n for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for n in range(50)}
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        if kept:
+            want[i] = " ".join(kept)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in P.repeated_passages(spark, docs, SF).collect()} == want
+    assert 3 not in want and want[2] == "own end" and want[7] == "gap tail"
