@@ -154,7 +154,8 @@ def test_suffix_array_is_sorted():
 def test_packing(frame, docs, empty):
     path = tokenizer_file("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    docs = [*docs, (500, "hello <|startoftext|> world<|endoftext|>"), (501, "<|STARTOFTEXT|> " + "<|endoftext|>" * 3000)]
+    frame = frame.unionByName(frame.sparkSession.createDataFrame([(i, t, "x", 7) for i, t in docs[-2:]], frame.schema))
     pieces = packing.pack_documents(frame, path).collect()
     want = Counter()
     for i, t in docs:
@@ -179,6 +180,16 @@ def test_packing(frame, docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_ids_are_those_of_the_tokenizer():
+    path = tokenizer_file("word_bpe_49k.json")
+    tokenizer, encode, rng = Tokenizer.from_file(path), packing.encoder(path).encode, random.Random(8)
+    alphabet = [chr(c) for c in range(1, 0x260)] + list("ΣσςİſK\u0301\u200b\u2028\u00a0ẞ漢かな한🙂\u200d")
+    alphabet += ["<|startoftext|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|", "'s", "'LL", " ", "  ", "a", "B"] * 8
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_quality(frame, docs, empty):
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(quality.measure(frame)).collect())
     want = Counter()

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import bisect
 import re
-import struct
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -30,50 +30,68 @@ TIERS = (256, 512, 1024, 2048)
 GROUP_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
 END_ID = 1
-CACHED_WORDS = 500_000
+CACHED_WORDS = 600_000
 PIECES = "doc_id long, start long, length long, ids_le binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
-#: The tokenizer's cut of lower-cased ASCII without white space, as its file gives it for all of Unicode.
-_ASCII_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: Parts of these characters are normalised by lower-casing alone; none of them is white space, a mark, or composes.
+_PLAIN = re.compile("[!-~¡-¬®-įı-ſ]*").fullmatch
+#: The tokenizer's cut, as its file gives it for all of Unicode, for lower-cased text of those characters.
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ſ]+|[0-9²³¹¼-¾]|[^a-z0-9ªµºÀ-ÖØ-öø-ſ²³¹¼-¾]+").findall
+
+
+def byte_names() -> dict[int, str]:
+    """The characters by which byte-level tokenizers name bytes: printable ones themselves, others from 256 on."""
+    named = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in named} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in named)}
 
 
 class WordEncoder(dict):
     """Part of a text between ASCII white space -> its ids as little-endian 32-bit bytes, remembered.
 
     The tokenizer lower-cases, drops white space and never merges across it, so encoding part by part gives the ids of
-    the whole. At most CACHED_WORDS parts are remembered; then the memory starts anew.
+    the whole. A text that holds one of the tokenizer's special strings goes through the tokenizer itself, which gives
+    that string's id. CACHED_WORDS parts at most are remembered; when half of that is new, those not used since the
+    last time are forgotten.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.ordinary = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.ordinary.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.normal, self.cut, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.named, self.older = byte_names(), {}
         self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, part: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= CACHED_WORDS // 2:
+            self.older = dict(self)
             self.clear()
-        text = part.decode()
-        if len(part) > 4096:  # leave long strings to the tokenizer, and forget them
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if text.isascii() and text.isprintable():
-            pieces = _ASCII_CUT(text)
-        else:
-            pieces = [p for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(text))]
-        made = b"".join([self.pieces.get(p) or self._piece(p) for p in pieces])
+        made = self.older.get(part)
+        if made is None:
+            text = part.decode()
+            if len(part) > 4096:  # leave long strings to the tokenizer, and forget them
+                return np.array(self.ordinary.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if _PLAIN(text):
+                pieces = [text.lower()] if text.isalpha() else _CUT(text.lower())
+                if not text.isascii():
+                    pieces = [p.encode().decode("latin-1").translate(self.named) for p in pieces]
+            else:
+                pieces = [p for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(text))]
+            made = b"".join([self.pieces.get(p) or self._piece(p) for p in pieces])
         self[part] = made
         return made
 
     def _piece(self, piece: str) -> bytes:
         if len(self.pieces) >= CACHED_WORDS:
             self.pieces.clear()
-        ids = [t.id for t in self.model.tokenize(piece)]
-        made = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        made = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
         return made
 
     def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.encode().lower().split()))
 
 
