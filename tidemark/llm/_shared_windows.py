@@ -1,5 +1,8 @@
 """Finding the windows of texts that other texts may share, without sending every window over the network.
 
+A text that equals one of a smaller document is a copy: it goes as a whole if it holds a window, and is left out of
+all that follows. Copies are told by their SHA-256, in Spark.
+
 Texts lie in chunks of bounded size, dealt by a hash; one exchange of the texts serves all passes. In each text every
 window of fixed width has an anchor: the gram of lowest hash inside it (the leftmost of equals). Equal windows have equal
 anchors, so a window can only recur in another text if its anchor does. Consecutive windows with one anchor form a run.
@@ -16,10 +19,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm._spark import stored
 from tidemark.llm._words import mix
 
 CHUNK_BYTES = 16 << 20
@@ -27,15 +32,29 @@ NO_ID = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 28) - 1)
 
 
-def chunked(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """doc_id, text, the other columns as `rest`, and the chunk; and the number of chunks."""
+def chunked(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, DataFrame]:
+    """doc_id, text, the other columns as `rest`, a hash of the text, and the chunk; the number of chunks; and the copies,
+    as answers of kind 0."""
     others = [c for c in df.columns if c not in (id_col, text_col)]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("struct<none:int>")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(2, -(-size // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")
-    return docs.withColumn("chunk", chunk).repartition(n, "chunk"), n
+    docs = docs.withColumns({"chunk": chunk, "mark": F.xxhash64("text")})
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    told = stored(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "chunk", "mark", digest), "digests")
+    least = told.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
+    none = [F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("bits")]
+    copies = told.join(least, "digest").where("doc_id > least").select("chunk", *none, F.col("doc_id").alias("doc"), "mark")
+    return docs.repartition(n, "chunk"), n, stored(copies, "copies")
+
+
+def copied(table: pa.Table, told: pa.Table) -> np.ndarray:
+    """Which rows of a chunk are copies."""
+    rows = told.filter(pc.equal(told["kind"], 0))
+    known = set(zip(rows["doc"].to_pylist(), rows["mark"].to_pylist()))
+    return np.fromiter((x in known for x in zip(table["doc_id"].to_pylist(), table["mark"].to_pylist())), bool, len(table))
 
 
 def result(docs: DataFrame, made: str, *passed: str) -> T.StructType:
@@ -96,19 +115,19 @@ class Anchors:
 
 
 ASKED = "bucket int, chunk int, names binary"
-ANSWERED = "chunk int, kind int, bucket int, n int, bits binary"
+ANSWERED = "chunk int, kind int, bucket int, n int, bits binary, doc long, mark long"
 
 
 def answer(kind: int, rows: list[tuple[int, int, np.ndarray]]) -> pa.Table:
     """A bucket's bits for each chunk: (chunk, bucket, bits)."""
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    columns = [[c for c, _, _ in rows], [kind] * len(rows), [b for _, b, _ in rows], [len(x) for _, _, x in rows], [np.packbits(x).tobytes() for _, _, x in rows]]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "kind", "bucket", "n", "bits"])
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    columns = [[c for c, _, _ in rows], [kind] * len(rows), [b for _, b, _ in rows], [len(x) for _, _, x in rows], [np.packbits(x).tobytes() for _, _, x in rows], *[[None] * len(rows)] * 2]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "kind", "bucket", "n", "bits", "doc", "mark"])
 
 
 def answers(table: pa.Table, kind: int) -> np.ndarray:
     """The bits of one kind that a chunk got, by bucket."""
-    rows = sorted((r["bucket"], r["n"], r["bits"]) for r in table.to_pylist() if r["kind"] == kind)
+    rows = sorted((r["bucket"], r["n"], r["bits"]) for r in table.filter(pc.equal(table["kind"], kind)).to_pylist())
     return np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, n, b in rows]]).astype(bool)
 
 
@@ -137,3 +156,9 @@ def covered(starts: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     new = np.flatnonzero(np.concatenate(([True], starts[1:] > starts[:-1] + width)))
     return starts[new], np.minimum(starts[np.append(new[1:] - 1, len(starts) - 1)] + width, n)
+
+
+def whole(n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What goes of a copy that has n units: everything, if it holds a window."""
+    size = np.full(1 if n >= width else 0, n)
+    return np.zeros_like(size), size

@@ -27,8 +27,8 @@ GRAM = 8
 class _Chunk:
     """The runs of windows of a chunk's texts, and what is needed to look their windows up again."""
 
-    def __init__(self, table: pa.Table, width: int) -> None:
-        self.doc, (raw, edges) = sw.ids(table), texts(table["text"])
+    def __init__(self, table: pa.Table, width: int, told: pa.Table) -> None:
+        self.doc, (raw, edges), self.copied = sw.ids(table), texts(table["text"]), sw.copied(table, told)
         self.text, self.n_words = (raw, edges), np.zeros(len(self.doc), np.int64)
         gram = min(GRAM, width)
         parts, self.hashes, base = [], [], 0
@@ -39,7 +39,7 @@ class _Chunk:
             self.n_words[at:stop] = total
             self.first[at:stop] = base + np.cumsum(total) - total
             place = np.arange(len(row)) - (self.first[at:stop] - base)[row]
-            start, count, name = sw.runs(rolling(h, gram), width - gram + 1, np.flatnonzero(place + width <= total[row]))
+            start, count, name = sw.runs(rolling(h, gram), width - gram + 1, np.flatnonzero((place + width <= total[row]) & ~self.copied[at:stop][row]))
             window = np.zeros(len(h), np.uint64)
             window[: max(0, len(h) - width + 1)] = rolling(h, width)
             self.hashes.append(window)
@@ -90,23 +90,23 @@ def _smaller_elsewhere(table: pa.Table) -> pa.Table:
 def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, spans (the removed intervals, in words), kept (the other words, joined by one space) and rest
     (a struct of df's other columns), and on request the whole text, for every row of df."""
-    docs, n = sw.chunked(df, id_col, text_col)
+    docs, n, copies = sw.chunked(df, id_col, text_col)
 
     def shared_windows(chunk: _Chunk, bits: pa.Table) -> tuple[np.ndarray, np.ndarray, _Windows]:
         flag = sw.Anchors(chunk.name, chunk.row, n).shared(sw.answers(bits, 1), chunk.name)
         place, row = chunk.windows(np.flatnonzero(flag))
         return place, row, _Windows(chunk.hashes[place], chunk.doc[row], n)
 
-    def send_anchors(table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, width)
+    def send_anchors(table: pa.Table, bits: pa.Table) -> pa.Table:
+        chunk = _Chunk(table, width, bits)
         return sw.Anchors(chunk.name, chunk.row, n).ask(table["chunk"][0].as_py())
 
     def send_windows(table: pa.Table, bits: pa.Table) -> pa.Table:
-        _, _, found = shared_windows(_Chunk(table, width), bits)
+        _, _, found = shared_windows(_Chunk(table, width, bits), bits)
         return _ask(table["chunk"][0].as_py() if len(table) else 0, found)
 
     def remove(table: pa.Table, bits: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, width)
+        chunk = _Chunk(table, width, bits)
         place, row, found = shared_windows(chunk, bits)
         smaller = np.zeros(len(found.sorted), bool)
         smaller[found.by] = sw.answers(bits, 2)
@@ -118,7 +118,8 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
         place, edge = place[by], np.searchsorted(row[by], np.arange(len(chunk.doc) + 1))
         (raw, at), spans, kept = chunk.text, [], []
         for i in range(len(chunk.doc)):
-            start, stop = sw.covered(place[edge[i] : edge[i + 1]], width, int(chunk.n_words[i]))
+            n = int(chunk.n_words[i])
+            start, stop = sw.covered(place[edge[i] : edge[i + 1]], width, n) if not chunk.copied[i] else sw.whole(n, width)
             all_words, own, last = raw[at[i] : at[i + 1]].tobytes().split(), [], 0
             for a, b in zip(start.tolist(), stop.tolist()):
                 own += all_words[last:a]
@@ -128,8 +129,8 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
         made = {"doc_id": table["doc_id"], "n_words": pa.array(chunk.n_words), "spans": sw.spans_column(spans), "kept": pa.array(kept, pa.string()), "rest": table["rest"]}
         return pa.table(made | ({"text": table["text"]} if with_text else {}))
 
-    asked = docs.groupBy("chunk").applyInArrow(send_anchors, sw.ASKED)
-    first = asked.groupBy("bucket").applyInArrow(sw.held_elsewhere, sw.ANSWERED)
+    asked = docs.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(send_anchors, sw.ASKED)
+    first = asked.groupBy("bucket").applyInArrow(sw.held_elsewhere, sw.ANSWERED).union(copies)
     sent = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_windows, "bucket int, chunk int, hashes binary, least binary")
     second = sent.groupBy("bucket").applyInArrow(_smaller_elsewhere, sw.ANSWERED)
     made = sw.result(docs, "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, kept string", "rest", *["text"] * with_text)

@@ -33,82 +33,84 @@ GRAM = 16
 PARTS = 32
 
 
-def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
+def words_of(s: np.ndarray) -> np.ndarray:
+    """Seven values from each place on as one number, in order; nothing counts behind the first 0."""
+    n = len(s)
+    padded = np.zeros(n + 6, np.uint64)
+    padded[:n] = s
+    word, live = padded[:n] << np.uint64(54), padded[:n] > 0
+    for k in range(1, 7):
+        value = padded[k : n + k]
+        word += np.where(live, value, np.uint64(0)) << np.uint64(9 * (6 - k))
+        live &= value > 0
+    return word
+
+
+def suffix_array(s: np.ndarray, depth: int, word: np.ndarray | None = None) -> np.ndarray:
     """The suffixes of s, in order of their first `depth` values; s holds 0 .. 256, and a 0 ends every stretch.
 
-    Two-stage sorting: suffixes smaller than their successors (and the 0s) are sorted directly, by words of eight
+    Two-stage sorting: suffixes smaller than their successors (and the 0s) are sorted directly, by words of seven
     values, each word splitting only the groups that are still tied; the others are induced.
     """
     n = len(s)
+    word = words_of(s) if word is None else word
     after = np.append(s[1:], np.int16(-1))
-    differs = s != after
-    decided = np.flatnonzero(differs)
-    ahead = decided[np.searchsorted(decided, np.arange(n))]  # the place that decides each suffix; the end always does
-    small = s[ahead] < after[ahead]
+    decided = np.flatnonzero(s != after)  # the place that decides each suffix is the next of these; the end always is one
+    run = np.diff(decided, prepend=-1)
+    small = np.repeat(s[decided] < after[decided], run)
     small |= s == 0
-    direct = _direct(s, np.flatnonzero(small & (s > 0)), depth)
+    direct = _direct(word, np.flatnonzero(small & (s > 0)), depth)
     head = np.searchsorted(s[direct], np.arange(258))
+    large = ~small
     placed: list[list[np.ndarray]] = [[] for _ in range(257)]
     out = []
-    for c in range(257):
+    for c in np.flatnonzero(np.bincount(s, minlength=257)).tolist():
         if c == 0:
             here = [np.flatnonzero(s == 0)]
         else:
-            induced = placed[c]
-            queue = np.concatenate(induced) if induced else np.zeros(0, np.int64)
+            queue = np.concatenate([np.zeros(0, np.int64), *placed[c]])
             here = []
             while len(queue):  # those placed now place their own predecessors of the same first value
                 here.append(queue)
                 before = queue[queue > 0] - 1
-                queue = before[(s[before] == c) & ~small[before]]
+                queue = before[(s[before] == c) & large[before]]
             here.append(direct[head[c] : head[c + 1]])
         order = np.concatenate(here)
         out.append(order)
         before = order[order > 0] - 1
-        before = before[(s[before] > c) & ~small[before]]
+        before = before[large[before]]
         value = s[before]
+        before, value = before[value > c], value[value > c]
         by = np.argsort(value, kind="stable")
-        before, value = before[by], value[by]
-        for name, some in sw.by_bucket(value):
-            placed[name].append(before[some])
+        before = before[by]
+        edge = np.cumsum(np.bincount(value, minlength=257)).tolist()
+        for name in range(c + 1, 257):
+            if edge[name] > edge[name - 1]:
+                placed[name].append(before[edge[name - 1] : edge[name]])
         placed[c] = []
     return np.concatenate(out)
 
 
-def _keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Seven values from each place as one number, in order; nothing counts from the first 0 on."""
-    key, live = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
-    for k in range(7):
-        value = s[np.minimum(at + k, len(s) - 1)]
-        live = live & (value > 0) & (at + k < len(s))
-        key = key * np.uint64(257) + np.where(live, value, 0).astype(np.uint64)
-    return key
-
-
-def _direct(s: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def _direct(word: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The given suffixes in order of their first `depth` values."""
-    key = _keys(s, at)
-    by = np.argsort(key, kind="stable")
-    order, key = at[by], key[by]
-    group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64)))) if len(at) else at
+    key = word[at]
+    by = np.argsort(key)
+    order, key, group = at[by], key[by], np.zeros(len(at), np.int64)
+    tied = np.arange(len(at))  # places of `order` that aren't settled; those of one group lie together
     for shift in range(7, depth, 7):
-        size = np.bincount(group)
-        tied = np.flatnonzero(size[group] > 1) if len(group) else group
-        ended = (key[tied] % np.uint64(257) == 0) if len(tied) else tied
-        tied = tied[~ended.astype(bool)] if len(tied) else tied
+        new = np.ones(len(tied) + 1, bool)  # where a group begins
+        new[1:-1] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        live = ~(new[:-1] & new[1:]) & (key & np.uint64(511) > 0)  # others are alone, or have ended
+        group, tied = np.cumsum(new[:-1])[live], tied[live]
         if not len(tied):
             break
-        next_key = np.zeros(len(order), np.uint64)
-        next_key[tied] = _keys(s, order[tied] + shift)
-        by = np.lexsort((next_key[tied], group[tied]))
-        order[tied], next_key[tied] = order[tied][by], next_key[tied][by]
-        key = np.where(np.isin(np.arange(len(order)), tied, assume_unique=True), next_key, 0)
-        split = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-        group = np.cumsum(np.concatenate(([0], split.astype(np.int64))))
+        key = word[order[tied] + shift]
+        by = np.lexsort((key, group))
+        order[tied], key = order[tied][by], key[by]
     return order
 
 
-def common_prefix_reaches(s: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+def common_prefix_reaches(word: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
     """For each suffix of `order`, whether it shares its first `width` values with the one before it.
 
     The common prefix is measured in steps of seven values over the pairs that still agree.
@@ -118,10 +120,8 @@ def common_prefix_reaches(s: np.ndarray, order: np.ndarray, width: int) -> np.nd
         return same
     alive = np.arange(1, len(order))
     for at in range(0, width, 7):
-        rest = min(7, width - at)
-        a, b = _keys(s, order[alive] + at), _keys(s, order[alive - 1] + at)
-        cut = np.uint64(257 ** (7 - rest))
-        alive = alive[a // cut == b // cut]
+        rest = np.uint64(9 * (7 - min(7, width - at)))
+        alive = alive[word[order[alive] + at] >> rest == word[order[alive - 1] + at] >> rest]
     same[alive] = True
     return same
 
@@ -129,12 +129,13 @@ def common_prefix_reaches(s: np.ndarray, order: np.ndarray, width: int) -> np.nd
 class _Chunk:
     """The runs of windows of a chunk's texts."""
 
-    def __init__(self, table: pa.Table, width: int) -> None:
-        self.doc, (self.raw, self.edges) = sw.ids(table), texts(table["text"])
+    def __init__(self, table: pa.Table, width: int, told: pa.Table) -> None:
+        self.doc, (self.raw, self.edges), self.copied = sw.ids(table), texts(table["text"]), sw.copied(table, told)
         gram, parts = min(GRAM, width), []
         for at, stop in slices(self.edges):
             begin, end = self.edges[at], self.edges[stop]
             room = np.diff(self.edges[at : stop + 1]) - width + 1  # windows of each text
+            room[self.copied[at:stop]] = 0
             start = np.arange(end - begin)
             which = np.repeat(np.arange(stop - at), np.diff(self.edges[at : stop + 1]))
             start = start[start - (self.edges[at:stop] - begin)[which] < room[which]]
@@ -201,9 +202,10 @@ def _smallest(raw: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.nd
     window = np.full(len(s), -1, np.int64)
     step = np.arange(count.sum()) - np.repeat(first, count)
     window[np.repeat(at, count) + step] = np.arange(count.sum())
-    order = suffix_array(s, width)
+    word = words_of(s)
+    order = suffix_array(s, width, word)
     order = order[window[order] >= 0]
-    group = np.cumsum(~common_prefix_reaches(s, order, width)) - 1
+    group = np.cumsum(~common_prefix_reaches(word, order, width)) - 1
     owner = np.repeat(least, count)
     low = np.full(int(group[-1]) + 1 if len(group) else 0, sw.NO_ID)
     np.minimum.at(low, group, owner[window[order]])
@@ -252,24 +254,24 @@ def _flags(raw: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarr
 def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (the maximal removed runs, in bytes), kept (the other bytes) and rest (a struct of df's
     other columns) for every row of df."""
-    docs, n = sw.chunked(df, id_col, text_col)
+    docs, n, copies = sw.chunked(df, id_col, text_col)
 
     def stretches(chunk: _Chunk, bits: pa.Table) -> tuple[np.ndarray, _Stretches]:
         flag = sw.Anchors(chunk.name, chunk.row, n).shared(sw.answers(bits, 1), chunk.name)
         chosen = np.flatnonzero(flag)
         return chosen, _Stretches(chunk, chosen, width, n)
 
-    def send_anchors(table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, width)
+    def send_anchors(table: pa.Table, bits: pa.Table) -> pa.Table:
+        chunk = _Chunk(table, width, bits)
         return sw.Anchors(chunk.name, chunk.row, n).ask(table["chunk"][0].as_py())
 
     def send_stretches(table: pa.Table, bits: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, width)
+        chunk = _Chunk(table, width, bits)
         _, found = stretches(chunk, bits)
         return _ask(table["chunk"][0].as_py() if len(table) else 0, chunk.raw, found, width)
 
     def remove(table: pa.Table, bits: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, width)
+        chunk = _Chunk(table, width, bits)
         chosen, found = stretches(chunk, bits)
         smaller = sw.answers(bits, 2)
         begin = np.cumsum(found.windows) - found.windows
@@ -283,15 +285,16 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
         edge = np.searchsorted(row, np.arange(len(chunk.doc) + 1))  # runs come in order of rows and places
         raw, at, spans, kept = chunk.raw, chunk.edges, [], []
         for i in range(len(chunk.doc)):
-            a, b = sw.covered(place[edge[i] : edge[i + 1]] - at[i], width, int(at[i + 1] - at[i]))
+            n = int(at[i + 1] - at[i])
+            a, b = sw.covered(place[edge[i] : edge[i + 1]] - at[i], width, n) if not chunk.copied[i] else sw.whole(n, width)
             spans.append((a, b))
             text = raw[at[i] : at[i + 1]].tobytes()
             cut = [0, *np.stack([a, b], 1).ravel().tolist(), len(text)]
             kept.append(b"".join([text[cut[k] : cut[k + 1]] for k in range(0, len(cut), 2)]))
         return pa.table({"doc_id": table["doc_id"], "n_bytes": pa.array(np.diff(at)), "spans": sw.spans_column(spans), "kept": pa.array(kept, pa.binary()), "rest": table["rest"]})
 
-    asked = docs.groupBy("chunk").applyInArrow(send_anchors, sw.ASKED)
-    first = asked.groupBy("bucket").applyInArrow(sw.held_elsewhere, sw.ANSWERED)
+    asked = docs.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(send_anchors, sw.ASKED)
+    first = asked.groupBy("bucket").applyInArrow(sw.held_elsewhere, sw.ANSWERED).union(copies)
     sent = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_stretches, "bucket int, chunk int, bytes binary, sizes binary, least binary, parts binary")
     second = sent.groupBy("bucket").applyInArrow(lambda table: _smaller_elsewhere(table, width), sw.ANSWERED)
     made = sw.result(docs, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary", "rest")
