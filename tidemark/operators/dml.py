@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHANGE = ["op", "pk", "old", "new"]
+#: A column of staged rows that holds their order in the statement.
+ORDER = "__order"
 
 
 def _row(columns: Sequence[str], given: Mapping[str, Column] | None = None) -> Column:
@@ -20,7 +22,7 @@ def _nothing(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def _columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != "_lsn"]
+    return [c for c in df.columns if c not in ("_lsn", ORDER)]
 
 
 def insert(staged: DataFrame, pk: str) -> DataFrame:
@@ -55,26 +57,38 @@ def truncate(state: DataFrame, pk: str) -> DataFrame:
     return delete(state, pk)
 
 
-def upsert(state: DataFrame, staged: DataFrame, pk: str, assignments: Mapping[str, Column | str] | None = None, order: str | None = None) -> DataFrame:
-    """INSERT ... ON CONFLICT (pk) DO NOTHING, or DO UPDATE SET with `assignments`: a Column, or "EXCLUDED.column".
+def upsert(state: DataFrame, staged: DataFrame, pk: str, assignments: Mapping[str, Column | str] | None = None, order: str | None = None, on: str | None = None) -> DataFrame:
+    """INSERT ... ON CONFLICT (on) DO NOTHING, or DO UPDATE SET with `assignments`: a Column, or "EXCLUDED.column".
 
-    Of staged rows with one key the first by `order` is inserted if the key is new; with assignments the last one wins.
+    `on` is the primary key unless given. Staged rows apply one after another by `order`: of several with one key the first
+    is inserted if the key is new, and each later one updates. Rows whose `on` is null meet no other.
     """
-    columns = _columns(state)
-    ranked = staged
-    if order is not None:
-        by = Window.partitionBy(pk).orderBy(F.col(order) if assignments is None else F.desc(order))
-        ranked = staged.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
-    new = ranked.select(F.col(pk).alias("__key"), _row(columns).alias("__new"))
-    old = state.select(F.col(pk).alias("__pk"), _row(columns).alias("__old"))
-    met = new.join(old, F.col("__key") == F.col("__pk"), "left")
-    fresh = met.where("__pk IS NULL").select(F.lit("INSERT").alias("op"), F.col("__key").alias("pk"), _nothing(state, columns).alias("old"), F.col("__new").alias("new"))
+    columns, on = _columns(state), on or pk
+    by = F.monotonically_increasing_id() if order is None else F.col(order)
+    rows = staged.select(F.col(on).alias("__key"), _row(columns).alias("__row"), by.alias("__by"))
+    new = rows.where("__key IS NOT NULL").groupBy("__key")
+    new = new.agg(F.min_by("__row", "__by").alias("__first"), F.max_by("__row", "__by").alias("__last"), F.count("*").alias("__n"))
+    old = state.select(F.col(on).alias("__on"), F.col(pk).alias("__pk"), _row(columns).alias("__old"))
+    met = new.join(old, F.col("__key") == F.col("__on"), "left")
+    value = lambda v: F.col("__last").getField(v.split(".", 1)[1]) if isinstance(v, str) else v
+
+    def merged(row: str) -> Column:
+        """`row` with what the last staged row assigns; other expressions see the columns of `row`."""
+        return F.struct(*[(value(assignments[c]) if c in assignments else F.col(row).getField(c)).cast(state.schema[c].dataType).alias(c) for c in columns])
+
+    nothing = _nothing(state, columns)
+    fresh = met.where("__pk IS NULL")
+    made = F.col("__first") if not assignments else F.when(F.col("__n") > 1, merged("__first")).otherwise(F.col("__first"))
+    if assignments:
+        fresh = fresh.select("*", "__first.*")
+    inserted = fresh.select(F.lit("INSERT").alias("op"), made.alias("__new"))
+    unmet = rows.where("__key IS NULL").select(F.lit("INSERT").alias("op"), F.col("__row").alias("__new"))
+    inserted = inserted.unionByName(unmet).select("op", F.col(f"__new.`{pk}`").alias("pk"), nothing.alias("old"), F.col("__new").alias("new"))
     if assignments is None:
-        return fresh
-    value = lambda v: F.col("__new").getField(v.split(".", 1)[1]) if isinstance(v, str) else v
-    merged = F.struct(*[(value(assignments[c]) if c in assignments else F.col("__old").getField(c)).cast(state.schema[c].dataType).alias(c) for c in columns])
-    changed = met.where("__pk IS NOT NULL").select(F.lit("UPDATE").alias("op"), F.col("__key").alias("pk"), F.col("__old").alias("old"), merged.alias("new"))
-    return fresh.unionByName(changed)
+        return inserted
+    changed = met.where("__pk IS NOT NULL").select("*", "__old.*")
+    changed = changed.select(F.lit("UPDATE").alias("op"), F.col("__pk").alias("pk"), F.col("__old").alias("old"), merged("__old").alias("new"))
+    return inserted.unionByName(changed)
 
 
 def apply(state: DataFrame, changes: DataFrame, pk: str, lsn: int) -> DataFrame:

@@ -45,38 +45,17 @@ class Domains:
         return names
 
     def sql(self, spark: SparkSession, text: str, domains: Sequence[str]) -> DataFrame:
-        """A query over the visible tables. Names are bound to DataFrames for this query only, so no view is left behind."""
-        imports, text = split_imports(text)
-        return bind(spark, text, self.visible(domains, imports), self.tables)
-
-
-_QUOTED = re.compile(r"'(?:[^']|'')*'")
-_TABLE = re.compile(r"\b(FROM|JOIN|,)(\s+)([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)(?!\s*\()", re.I)
-
+        """A query over the visible tables; no view of them is left behind."""
+        from tidemark.plans import dialect
 
-def bind(spark: SparkSession, text: str, names: Mapping[str, DataFrame], known: Mapping[str, Mapping[str, DataFrame]] | None = None) -> DataFrame:
-    """spark.sql with the tables after FROM and JOIN replaced by the DataFrames of these names."""
-    used: dict[str, DataFrame] = {}
-    quoted = _QUOTED.findall(text)
-    plain = _QUOTED.sub("\0", text).replace("{", "{{").replace("}", "}}")
-
-    def swap(m: re.Match) -> str:
-        name = m[3].lower()
-        if name in names:
-            own = f"t{len(used)}_{name.replace('.', '_')}"
-            used[own] = names[name]
-            follows = re.match(r"\s+(?:AS\s+)?([A-Za-z_]\w*)", plain[m.end() :], re.I)
-            alias = "" if follows and follows[1].upper() not in _CLAUSES else f" AS {name.split('.')[-1]}"
-            return f"{m[1]}{m[2]}{{{own}}}{alias}"
-        domain, _, table = name.partition(".")
-        if table and known is not None and domain in known:
-            raise DomainError(f"{name} lies outside the query's domains")
-        return m[0]
-
-    plain = _TABLE.sub(swap, plain)
-    parts = plain.split("\0")
-    whole = parts[0] + "".join(q.replace("{", "{{").replace("}", "}}") + p for q, p in zip(quoted, parts[1:]))
-    return spark.sql(whole, **used)
+        imports, text = split_imports(text)
+        names = self.visible(domains, imports)
 
+        def table(name: str) -> tuple[str, DataFrame] | None:
+            if name in names:
+                return name, names[name]
+            if "." in name and name.split(".")[0] in self.tables:
+                raise DomainError(f"{name} lies outside the query's domains")
+            return None
 
-_CLAUSES = frozenset("WHERE JOIN INNER LEFT RIGHT FULL CROSS ON GROUP ORDER HAVING LIMIT OFFSET UNION INTERSECT EXCEPT USING NATURAL WINDOW SEMI ANTI SET LATERAL AND OR AS".split()) - {"AS"}
+        return dialect.query(spark, text, dialect.Binder(table, domains=self.tables))

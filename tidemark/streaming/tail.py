@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +28,31 @@ def follow_commits(ledger, from_lsn: int | None = None, to_lsn: int | None = Non
     return rows if to_lsn is None else rows.where(F.col("lsn") <= to_lsn)
 
 
-def follow_entity(session, domain: str, name: str, handle, checkpoint: str, pk=None, from_lsn: int | None = None, to_lsn: int | None = None, once: bool = True):
+def follow_entity(session, domain: str, name: str, handle, checkpoint: str, pk=None, from_lsn: int | None = None, to_lsn: int | None = None, once: bool = True, limit: int | None = None):
     """Call handle(changes, batch number) with an entity's changes as commits arrive; the checkpoint is where it resumes.
+    After `limit` changes it stops.
 
     A batch is the commits that are new since the last one; after a failure the same batch comes again, so a handler
     that goes by (commit_lsn, root_pk) sees each change once.
     """
 
+    seen, started = [0], []
+
     def run(batch: DataFrame, number: int) -> None:
         low, high = batch.agg(F.min("lsn"), F.max("lsn")).first()
-        if low is not None:
-            handle(session.entity_changes(domain, name, pk, low, high), number)
+        if low is None or limit is not None and seen[0] >= limit:
+            return
+        found = session.entity_changes(domain, name, pk, low, high)
+        if limit is not None:
+            found = found.limit(limit - seen[0])
+            seen[0] += found.count()
+        handle(found, number)
+        if limit is not None and seen[0] >= limit and started:
+            threading.Thread(target=started[0].stop, daemon=True).start()
 
     writer = follow_commits(session.ledger, from_lsn, to_lsn).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start() if once else writer.start()
+    started.append(writer.trigger(availableNow=True).start() if once else writer.start())
+    return started[0]
 
 
 def replicate(ledger, to: str, checkpoint: str, once: bool = True):
@@ -53,11 +65,8 @@ def replicate(ledger, to: str, checkpoint: str, once: bool = True):
         for record in ledger.commits(high):
             if record["lsn"] <= target.head():
                 continue
-            for folder in record["files"].values():
+            for folder in ledger.files(record):
                 ledger.spark.read.parquet(f"{ledger.path}/{folder}").write.mode("overwrite").parquet(f"{to}/{folder}")
-            for table in record["resets"]:
-                at = f"checkpoints/{table}/{record['lsn']:020d}"
-                ledger.spark.read.parquet(f"{ledger.path}/{at}").write.mode("overwrite").parquet(f"{to}/{at}")
             try:
                 target.publish(record)
             except Conflict:
