@@ -11,7 +11,6 @@ from tidemark.llm import bpe, html_boilerplate, langid, minhash_join, packing, q
 from tidemark.llm._spark import new_path, table
 
 
-
 def tokenizer_file(name: str) -> str:
     """The place of a public tokenizer's file on this machine."""
     import public_tokenizers
@@ -104,7 +103,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_STOP_WORDS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": rf"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+        u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+        p AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS five
+              FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        n AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM p WHERE five IS NOT NULL),
+        c AS (SELECT doc_id, count(DISTINCT k) AS n_repeat FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM n WHERE n > 1) GROUP BY doc_id),
+        m AS (
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
+                   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+                   len(list_filter(w, lambda x: lower(rtrim(x, '.,;:!?')) IN ({_STOP_WORDS}))) AS n_stop, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter
+            FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.1 AND n_dup_lines / greatest(n_lines, 1) <= 0.4
+               AND (n_words < 50 OR n_stop / n_words >= 0.02) AND n_letter / n_words >= 0.6 AS kept FROM b""",
+    "op7_minhash_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM d),
+        n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+        p AS (SELECT doc_id, unnest(g) AS x FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM p a JOIN p b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT doc_id, n AS n_shingles, min(r.b) AS component_id, doc_id = min(r.b) AS kept FROM n JOIN r ON doc_id = r.a GROUP BY doc_id, n""",
     "op1_topk_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
