@@ -265,3 +265,13 @@ def test_tail_follow_in_sql(fresh, tmp_path):
     query.awaitTermination(60)
     assert few == [0, 1]
     assert rows(fresh.sql("TAIL ENTITY CHANGES a.e FOR 2").select("root_pk")) == [(2,)]
+
+
+def test_moved_keys(fresh):
+    fresh.sql("INSERT INTO t (id, v) VALUES (1, 1), (2, 2), (3, 3)")
+    fresh.sql("UPDATE t SET id = id + 10 WHERE id < 3")
+    assert rows(fresh.sql("SELECT id, v FROM t")) == [(11, 1), (12, 2), (3, 3)]
+    for text in ("UPDATE t SET id = 3 WHERE id = 11", "UPDATE t SET v = 3 WHERE id = 11", "INSERT INTO t (id, v) VALUES (3, 9) ON CONFLICT (v) DO NOTHING"):
+        with pytest.raises(ConstraintError) as e:
+            fresh.sql(text)
+        assert e.value.sqlstate == "23505"

@@ -469,7 +469,8 @@ class Session:
             changes = cut(changes.withColumn("seq", F.lit(seq)))
             if s.get("returning"):
                 returning = (name, seq, s["returning"])
-            self._check(changes.where("op <> 'DELETE'").select("new.*"), name, definition, now, catalog, insert=kind in ("insert", "append") and conflict is None)
+            moved = kind == "update" and pk in s["set"] or conflict is not None and conflict["columns"][0] != pk
+            self._check(changes, name, definition, now, kind in ("insert", "append") and conflict is None, moved)
             states[name] = dml.apply(now(name), changes, pk, lsn)
             staged[name] = changes if name not in staged else aligned(staged[name], changes)
             record["operations"].append([name, "INSERT" if kind == "append" else kind.upper()])
@@ -570,23 +571,25 @@ class Session:
             raise ConstraintError("23000", f"{v['column']} refers to no row of {v['table']}")
         return out.withColumn(v["lsn_column"], F.coalesce(F.col(v["lsn_column"]), F.col("__token").cast("long"))).drop("__ref", "__token")
 
-    def _check(self, rows: DataFrame, name: str, definition: dict, now, catalog: dict, insert: bool) -> None:
-        """Raise ConstraintError for the first constraint that the written rows break."""
-        before = now(name) if insert else None
+    def _check(self, changes: DataFrame, name: str, definition: dict, now, insert: bool, moved: bool) -> None:
+        """Raise ConstraintError for the first constraint that the written rows break. `moved`: other rows than plain
+        inserts may take a key that another row has."""
+        rows, pk = changes.where("op <> 'DELETE'").select("new.*"), definition["pk"]
+
+        def others() -> DataFrame:
+            """The rows that this statement leaves as they are."""
+            return now(name) if insert else now(name).join(changes.where("op <> 'INSERT'").select(F.col("pk").alias("__pk")), F.col(pk) == F.col("__pk"), "left_anti")
 
         def fail(found: DataFrame, what: str) -> None:
             if row := found.select("sqlstate").first():
                 raise ConstraintError(row[0], f"{name}: {what}")
 
-        fail(constraints.primary_key_violations(rows, definition["pk"], before), "primary key")
+        fail(constraints.primary_key_violations(rows, pk, others() if insert or moved else None), "primary key")
         for c in definition["columns"]:
             if c.get("not_null"):
                 fail(constraints.null_violations(rows, c["name"]), f"{c['name']} is null")
             if c.get("unique"):
-                others = before
-                if others is None:  # the rows that this statement leaves as they are
-                    others = now(name).join(rows.select(F.col(definition["pk"]).alias("__pk")), F.col(definition["pk"]) == F.col("__pk"), "left_anti")
-                fail(constraints.unique_violations(rows, c["name"], others), f"{c['name']} isn't unique")
+                fail(constraints.unique_violations(rows, c["name"], others()), f"{c['name']} isn't unique")
             if c.get("references"):
                 table, column = c["references"]
                 parent = f"{name.split('.')[0]}.{table}"
@@ -705,8 +708,20 @@ class Session:
         kinds = {c["name"]: c["type"] for c in definition["columns"]}
         reader = self.spark.read.schema(", ".join(f"`{c}` string" for c in columns))
         raw = reader.options(sep="," if csv else "\t", nullValue="" if csv else "\\N", quote='"' if csv else "", escape='"').csv(path)
+        return self.append(table, raw.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns]))
+
+    def append(self, table: str, rows: DataFrame, conflict: dict | None = None) -> int | str:
+        """Insert a DataFrame whose columns are some of the table's, in the open transaction or as one commit.
+
+        `conflict` is what ON CONFLICT says: {"columns": [column], "set": None or {column: expression}}.
+        """
+        self._allow(access.ADMIN)
+        step = ("append", {"table": table, "columns": rows.columns, "rows": rows, "conflict": conflict})
+        if self.tx:
+            self.tx.queue.append(step)
+            return "QUEUED"
         own = Transaction(self.domains, self.head())
-        own.queue.append(("append", {"table": table, "columns": columns, "rows": raw.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns])}))
+        own.queue.append(step)
         return self._commit(own)
 
     def copy_to(self, query: str, path: str, csv: bool = False) -> None:

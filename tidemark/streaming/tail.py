@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import scratch
+
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives for the data that is there now, as a table in memory; for tests and small feeds."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """What a stream gives for the data that is there now, written to files and read back.
+
+    In append mode the file sink writes each row once; in complete mode each batch replaces the result.
+    """
+    path, point = scratch(spark, "drained"), scratch(spark, "drain")
+    writer = stream.writeStream.option("checkpointLocation", point).outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 COMMITS = "lsn long, tx string, time double, domains array<string>, operations array<array<string>>, files map<string, string>"
