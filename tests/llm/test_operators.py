@@ -149,6 +149,12 @@ def test_suffix_array_is_sorted():
         key = lambda i: [int(c) for c in s[i : i + 12]][: ([int(c) for c in s[i : i + 12]] + [0]).index(0) + 1]
         keys = [key(i) for i in order]
         assert sorted(order.tolist()) == list(range(len(s))) and keys == sorted(keys)
+        ends = np.flatnonzero(s == 0)
+        first = np.concatenate(([0], ends[:-1] + 1))
+        count = np.array([rng.randint(1, e - f + 1) for f, e in zip(first, ends)])
+        some = {k for f, c in zip(first, count) for k in range(f, f + c)}
+        part = [i for i in suffix_dedup.suffix_array(s, 12, None, first, count).tolist() if i in some]
+        assert sorted(part) == sorted(some) and [key(i) for i in part] == sorted(key(i) for i in part)
 
 
 def test_packing(frame, docs, empty):

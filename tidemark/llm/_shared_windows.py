@@ -40,7 +40,7 @@ def chunked(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(2, -(-size // CHUNK_BYTES))
-    chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")
+    chunk = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("int")
     docs = docs.withColumns({"chunk": chunk, "mark": F.xxhash64("text")})
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
     told = stored(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "chunk", "mark", digest), "digests")
@@ -91,6 +91,17 @@ def by_bucket(bucket: np.ndarray) -> Iterable[tuple[int, slice]]:
         yield int(name), slice(int(first[i]), int(first[i + 1]) if i + 1 < len(names) else len(bucket))
 
 
+def six(names: np.ndarray) -> bytes:
+    """Names, which are below 2 ** 48, as six bytes each."""
+    return np.ascontiguousarray(names.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def of_six(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((raw.size // 6, 8), np.uint8)
+    wide[:, :6] = raw.reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
 class Anchors:
     """The distinct anchors of a chunk, ordered by bucket and name."""
 
@@ -102,8 +113,8 @@ class Anchors:
         self.sorted, self.bucket, self.repeated = found, bucket[self.by], count >= 2
 
     def ask(self, chunk: int) -> pa.Table:
-        six = self.sorted[self.by].view(np.uint8).reshape(-1, 8)[:, :6]
-        rows = [(b, np.ascontiguousarray(six[some]).tobytes()) for b, some in by_bucket(self.bucket)]
+        names = self.sorted[self.by]
+        rows = [(b, six(names[some])) for b, some in by_bucket(self.bucket)]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "names": pa.array([r[1] for r in rows], pa.binary())})
 
     def shared(self, bits: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -134,9 +145,7 @@ def answers(table: pa.Table, kind: int) -> np.ndarray:
 def held_elsewhere(table: pa.Table) -> pa.Table:
     """Answers to `Anchors.ask`: the anchors that two or more chunks hold."""
     parts = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 6) for x in table["names"]]
-    wide = np.zeros((sum(map(len, parts)), 8), np.uint8)
-    wide[:, :6] = np.concatenate(parts)
-    _, which, count = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
+    _, which, count = np.unique(of_six(np.concatenate(parts)), return_inverse=True, return_counts=True)
     edge = np.cumsum([0, *map(len, parts)])
     flag = count[which] >= 2
     chunks, buckets = table["chunk"].to_pylist(), table["bucket"].to_pylist()

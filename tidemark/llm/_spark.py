@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import scratch
+
 #: White space that separates words, fixed by the contracts: space, and the control characters 9 to 13.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -22,22 +21,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE_SPACE), lambda w: w != "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        folder = sc.getCheckpointDir()
-    return folder
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder whose files go when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    """A path in the shared folder, spark.checkpoint.dir, whose files go when the session's JVM ends."""
+    return scratch(spark, label)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
