@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token's bytes form a doubly linked list. Each adjacent pair that is a token waits in a bucket of its merge rank;
+The bytes of pre-tokens form doubly linked lists. Each adjacent pair that is a token waits in a bucket of its merge rank;
 a bucket holds list positions. Which buckets have entries is kept in bitmaps of three levels, 64 ranks to a word at the
 lowest, so find-first-set on three words gives the lowest waiting rank. A bucket's positions are taken leftmost first,
 and an entry whose pair has changed since is stale and skipped. Work is n log n in the length of a pre-token, which
-suits very long ones.
+suits very long ones; many pre-tokens share one queue, as lists that end at each other's edges, which spreads the cost
+of finding the next rank over all of them.
 
 Texts are cut by a pattern and each match is encoded by itself. Parts of a text that start with a single space between
 two other characters are cut alike wherever they stand, so their ids are remembered (CACHED_PARTS of them); other texts
-are cut as a whole. Pre-tokens are remembered too (CACHED_PIECES). A null text is an empty one and has no ids. Rows are independent: repeated rows, null ids and further
-columns pass through, and an empty table gives an empty one.
+are cut as a whole. Pre-tokens are remembered too (CACHED_PIECES). A null text is an empty one and has no ids. Rows are
+independent: repeated rows, null ids and further columns pass through, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_PARTS = 200_000
-CACHED_PIECES = 900_000
+CACHED_PARTS = 500_000
+CACHED_PIECES = 500_000
 LONG_PART = 512
+#: Characters of texts that are prepared together, and bytes of pre-tokens that share a queue.
+GROUP_CHARACTERS = 2 << 20
+QUEUE_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
 
 
@@ -51,8 +56,12 @@ class RankQueue:
         bucket = self.buckets.get(rank)
         if bucket is not None:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+        else:
+            self.open(rank, [position])
+
+    def open(self, rank: int, bucket: list[int]) -> None:
+        """A bucket, ascending, for a rank that has none."""
+        self.buckets[rank] = bucket
         a = rank >> 6
         word = self.low.get(a, 0)
         self.low[a] = word | _BIT[rank & 63]
@@ -63,69 +72,125 @@ class RankQueue:
             if not word:
                 self.top |= 1 << b
 
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank that waits and its leftmost position, taken out; (-1, -1) if none waits."""
+    def first(self) -> int:
+        """The lowest rank that waits; -1 if none does."""
         top = self.top
         if not top:
-            return -1, -1
+            return -1
         b = (top & -top).bit_length() - 1
         mid = self.mid[b]
         a = b << 6 | (mid & -mid).bit_length() - 1
         low = self.low[a]
-        bit = low & -low
-        rank = a << 6 | bit.bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
+        return a << 6 | (low & -low).bit_length() - 1
+
+    def close(self, rank: int) -> None:
+        """Take out the bucket of a rank."""
         del self.buckets[rank]
-        self.low[a] = low = low ^ bit
-        if not low:
-            self.mid[b] = mid = mid & (mid - 1)
-            if not mid:
-                self.top = top & (top - 1)
-        return rank, bucket[0]
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """The ids of one pre-token: the lowest-ranked pair is merged, leftmost first, until no pair is a token.
-
-    The queue must be empty, and is so again at the end.
-    """
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n, rank_of = len(piece), ranks.get
-    push, pop = queue.push, queue.pop
-    end = list(range(1, n + 1))  # the token at position i is piece[i : end[i]]
-    before = list(range(-1, n))
-    waiting: list[int | None] = [None] * n  # rank of the pair that starts at a position, as last pushed; None once merged away
-    for i in range(n - 1):
-        rank = waiting[i] = rank_of(piece[i : i + 2])
-        if rank is not None:
-            push(rank, i)
-    while True:
-        rank, i = pop()
-        if rank < 0:
-            break
-        if waiting[i] != rank:  # stale
-            continue
-        j = end[i]
-        waiting[j] = None
-        end[i] = k = end[j]
-        before[k] = i
-        rank = waiting[i] = rank_of(piece[i : end[k]]) if k < n else None
-        if rank is not None:
-            push(rank, i)
-        h = before[i]
-        if h >= 0:
-            rank = waiting[h] = rank_of(piece[h:k])
-            if rank is not None:
-                push(rank, h)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+        a = rank >> 6
+        self.low[a] ^= _BIT[rank & 63]
+        if not self.low[a]:
+            b = a >> 6
+            self.mid[b] ^= _BIT[a & 63]
+            if not self.mid[b]:
+                self.top ^= 1 << b
+
+
+class Merger:
+    """Encodes pre-tokens by merging."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks, self.queue = ranks, RankQueue()
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.pair = np.full(1 << 16, -1, np.int32)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pair[token[0] << 8 | token[1]] = rank
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token as 32-bit numbers: of its pairs the lowest-ranked is merged, leftmost first, until
+        no pair is a token; one that is a token as a whole is that token."""
+        out: list[bytes] = [b""] * len(pieces)
+        todo, size = [], 0
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = struct.pack("=i", whole)
+                continue
+            todo.append(i)
+            size += len(piece)
+            if size >= QUEUE_BYTES:
+                self._merge(pieces, todo, out)
+                todo, size = [], 0
+        if todo:
+            self._merge(pieces, todo, out)
+        return out
+
+    def _merge(self, pieces: list[bytes], which: list[int], out: list[bytes]) -> None:
+        raw = b"".join([pieces[i] for i in which])
+        n, rank_of, queue = len(raw), self.ranks.get, self.queue
+        starts = np.concatenate(([0], np.cumsum([len(pieces[i]) for i in which])))
+        data = np.frombuffer(raw, np.uint8).astype(np.int32)
+        paired = np.full(n, -1, np.int32)
+        paired[:-1] = self.pair[data[:-1] << 8 | data[1:]]
+        paired[starts[1:] - 1] = -1  # no pair reaches over an edge
+        edges = np.zeros(n + 1, np.uint8)
+        edges[starts] = 1
+        edge = edges.tobytes()
+        link = np.arange(-1, n)
+        link[starts] = -1
+        before = link.tolist()  # -1 at the first place of a pre-token
+        end = list(range(1, n + 1))  # the token at position i is raw[i : end[i]]
+        token = self.single[data].tolist()
+        waiting = paired.tolist()  # rank of the pair that starts at a position, as last pushed; -1 if none does
+        live = bytearray(b"\1") * n
+        at = np.flatnonzero(paired >= 0)
+        at = at[np.argsort(paired[at], kind="stable")]
+        names, first = np.unique(paired[at], return_index=True)
+        for rank, some in zip(names.tolist(), np.split(at, first[1:]) if len(names) else []):
+            queue.open(rank, some.tolist())
+        buckets, push = queue.buckets, queue.push
+        while (rank := queue.first()) >= 0:
+            bucket, again = buckets[rank], False
+            while bucket and not again:
+                i = heappop(bucket)
+                if waiting[i] != rank:  # stale
+                    continue
+                j = end[i]
+                waiting[j] = -1
+                live[j] = 0
+                token[i] = rank
+                end[i] = k = end[j]
+                new = None
+                if not edge[k]:
+                    before[k] = i
+                    new = rank_of(raw[i : end[k]])
+                if new is None:
+                    waiting[i] = -1
+                else:
+                    waiting[i] = new
+                    push(new, i)
+                    again = new < rank
+                h = before[i]
+                if h >= 0:
+                    new = rank_of(raw[h:k])
+                    if new is None:
+                        waiting[h] = -1
+                    else:
+                        waiting[h] = new
+                        push(new, h)
+                        again = again or new < rank
+            if not bucket:
+                queue.close(rank)
+        kept = np.frombuffer(live, np.uint8).astype(bool)
+        ids = np.array(token, np.int32)[kept].tobytes()
+        cut = np.concatenate(([0], np.cumsum(kept)))[starts] * 4
+        for i, low, high in zip(which, cut[:-1].tolist(), cut[1:].tolist()):
+            out[i] = ids[low:high]
+
+
+def merge(piece: bytes, merger: Merger) -> list[int]:
+    """The ids of one pre-token."""
+    return np.frombuffer(merger([piece])[0], np.int32).tolist()
 
 
 #: Beside a space, another white-space character or an edge of the text: such texts are cut as a whole.
@@ -151,20 +216,22 @@ class Encoder(dict):
             self.tokens[i] = token
         self.matches = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
-        self.queue = RankQueue()
+        self.merger = Merger(self.ranks)
 
     def _cut(self, text: str) -> bytes:
         return b"".join([self.pieces.get(p) or self._piece(p) for p in self.matches(text)])
 
     def _piece(self, piece: str) -> bytes:
-        ids = merge(piece.encode(), self.ranks, self.queue)
-        made = struct.pack(f"={len(ids)}i", *ids)
+        made = self.merger([piece.encode()])[0]
         if len(piece) <= LONG_PART:
-            if len(self.pieces) >= CACHED_PIECES:
-                forget_half(self.pieces)
-            self.pieces[piece] = made
+            self._remember([piece], [made])
         return made
 
+    def _remember(self, pieces: list[str], made: list[bytes]) -> None:
+        if len(self.pieces) + len(pieces) > CACHED_PIECES:
+            forget_half(self.pieces)
+        self.pieces.update(zip(pieces, made))
+
     def __missing__(self, part: str) -> bytes:
         made = self._cut(" " + part)
         if len(part) <= LONG_PART:
@@ -173,12 +240,33 @@ class Encoder(dict):
             self[part] = made
         return made
 
-    def encode(self, text: str) -> bytes:
-        """The ids as 32-bit numbers in the machine's byte order."""
+    @staticmethod
+    def _parts(text: str) -> tuple[str, list[str]]:
+        """What is cut by itself at the text's beginning, and the parts behind single spaces."""
         first, space, rest = text.partition(" ")
         if not space or not first or text[-1].isspace() or first[-1].isspace() or _UNEVEN.search(text):
-            return self._cut(text)
-        return self._cut(first) + b"".join(map(self.__getitem__, rest.split(" ")))
+            return text, []
+        return first, rest.split(" ")
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers in the machine's byte order. Pre-tokens that aren't known are merged
+        together first."""
+        cut = [self._parts(text) for text in texts]
+        parts: set[str] = set()
+        for _, some in cut:
+            parts.update(some)
+        new = [p for p in parts if p not in self and len(p) <= LONG_PART]
+        found: set[str] = set()
+        for matches in map(self.matches, [*[" " + p for p in new], *[first for first, _ in cut]]):
+            found.update(matches)
+        pieces = [p for p in found if p not in self.pieces and len(p) <= LONG_PART]
+        for i in range(0, len(pieces), CACHED_PIECES // 4):
+            some = pieces[i : i + CACHED_PIECES // 4]
+            self._remember(some, self.merger([p.encode() for p in some]))
+        return [self._cut(first) + b"".join(map(self.__getitem__, some)) if some else self._cut(first) for first, some in cut]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -189,6 +277,25 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def _groups(column: pa.Array) -> Iterator[int]:
+    """Where groups of rows end that hold about GROUP_CHARACTERS together."""
+    size = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+    total, at = np.concatenate(([0], np.cumsum(size))), 0
+    while at < len(size):
+        at = max(at + 1, int(np.searchsorted(total, total[at] + GROUP_CHARACTERS, "right")) - 1)
+        yield at
+
+
+def _limited(ids: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose ids take about BATCH_BYTES."""
+    begin = size = 0
+    for i, x in enumerate(ids):
+        size += len(x)
+        if size >= BATCH_BYTES or i + 1 == len(ids):
+            yield begin, i + 1
+            begin, size = i + 1, 0
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """df with the ids of its text in place of the text; other columns stay."""
     at = df.columns.index(text_col)
@@ -196,18 +303,16 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     names = [f.name for f in rest]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern).encode
+        own = encoder(path, pattern).encode_all
         for batch in batches:
-            others = batch.select(names)
-            ids, begin, size = [], 0, 0
-            for i, text in enumerate(batch.column(text_col)):
-                ids.append(own(text.as_py() or ""))
-                size += len(ids[-1])
-                if size >= BATCH_BYTES or i + 1 == batch.num_rows:
-                    edges = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                    yield pa.RecordBatch.from_arrays([*others.slice(begin, len(ids)).columns, lists], [*names, ids_col])
-                    ids, begin, size = [], i + 1, 0
+            others, column, begin = batch.select(names), batch.column(text_col), 0
+            for stop in _groups(column):
+                ids = own([t or "" for t in column[begin:stop].to_pylist()])
+                for low, high in _limited(ids):
+                    edges = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids[low:high]]))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids[low:high]), np.int32)))
+                    yield pa.RecordBatch.from_arrays([*others.slice(begin + low, high - low).columns, lists], [*names, ids_col])
+                begin = stop
 
     schema = df.select(*[f"`{n}`" for n in names], F.lit(None).cast("array<int>").alias(ids_col)).schema
     return df.select(*[f"`{n}`" for n in names], f"`{text_col}`").mapInArrow(run, schema)
