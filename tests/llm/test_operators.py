@@ -277,7 +277,7 @@ def test_language_id(spark, empty):
 def test_forward_sums_all_segmentations():
     vocabulary = langid.vocabulary(tokenizer_file("piece_bpe_32k.model"))
     chance = np.random.default_rng(0).random((vocabulary.size, 2))
-    word = langid.shaped("theend")
+    spelt = [langid.shaped(w) for w in ("theend", "a", "straße漢字", "été", "qzxqz")]
 
     def total(rest, k):
         if not rest:
@@ -285,10 +285,12 @@ def test_forward_sums_all_segmentations():
         out = 0.0 if vocabulary.number.get(rest[0], -1) >= 0 else chance[-1, k] * total(rest[1:], k)
         return out + sum(chance[vocabulary.number[rest[:n]], k] * total(rest[n:], k) for n in range(1, len(rest) + 1) if vocabulary.number.get(rest[:n], -1) >= 0)
 
-    lattice = vocabulary.lattice(word)
-    expected = np.log([total(word, 0), total(word, 1)])
-    assert np.allclose(langid.forward_many([lattice], [len(word)], chance)[0], expected)
-    assert np.allclose(langid.forward_long(lattice, len(word), chance), expected)
+    together = langid.forward_many(vocabulary, spelt, chance)
+    for i, word in enumerate(spelt):
+        expected = np.log([total(word, 0), total(word, 1)])
+        assert np.allclose(together[i], expected)
+        assert np.allclose(langid.forward_long(vocabulary.lattice(word), len(word), chance), expected)
+    assert langid.forward_many(vocabulary, [], chance).shape == (0, 2)
 
 
 def test_bpe(frame, docs, empty):

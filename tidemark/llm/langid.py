@@ -32,9 +32,10 @@ ROUNDS = 2
 SMOOTHING = 0.02
 SHORT_WORD = 40
 CACHED_WORDS = 400_000
-GROUP_WORDS = 100_000
+GROUP_WORDS = 200_000
 UNKNOWN = "und"
 WORD_START = "▁"
+_FREE = np.uint64((1 << 64) - 1)
 
 
 class Vocabulary:
@@ -50,6 +51,39 @@ class Vocabulary:
         for p in list(self.number):  # no piece, but the beginning of one
             for n in range(1, len(p)):
                 self.number.setdefault(p[:n], -1)
+        self._index()
+
+    def _index(self) -> None:
+        """The pieces as a tree of prefixes: an open hash table from (node, character) to the next node; node 0 is empty."""
+        node = {p: i + 1 for i, p in enumerate(self.number)} | {"": 0}
+        self.piece = np.array([-1, *self.number.values()], np.int64)
+        self.deepest = max(map(len, self.number), default=0)
+        key = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in self.number], np.uint64)
+        self.slots = 1 << max(4, (4 * len(key)).bit_length())
+        self.keys, self.nodes = np.full(self.slots, _FREE, np.uint64), np.zeros(self.slots, np.int64)
+        todo, at = np.arange(len(key)), self._slot(key)
+        while len(todo):  # each free place takes one of the keys that want it; the others go on to the next
+            free = self.keys[at[todo]] == _FREE
+            _, first = np.unique(at[todo[free]], return_index=True)
+            placed = todo[free][first]
+            self.keys[at[placed]], self.nodes[at[placed]] = key[placed], placed + 1
+            todo = np.setdiff1d(todo, placed)
+            at[todo] = (at[todo] + 1) & (self.slots - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.slots.bit_length() + 1)).astype(np.int64)
+
+    def step(self, node: np.ndarray, character: np.ndarray) -> np.ndarray:
+        """The node behind each node and character; 0 where there is none."""
+        key = node.astype(np.uint64) << np.uint64(21) | character.astype(np.uint64)
+        at, out, todo = self._slot(key), np.zeros(len(key), np.int64), np.arange(len(key))
+        while len(todo):
+            held = self.keys[at]
+            same = held == key[todo]
+            out[todo[same]] = self.nodes[at[same]]
+            on = ~same & (held != _FREE)
+            todo, at = todo[on], (at[on] + 1) & (self.slots - 1)
+        return out
 
     def lattice(self, word: str) -> list[tuple[int, int, int]]:
         """The (start, stop, number) of every piece in a word, by start; a character that is no piece is the last number."""
@@ -82,23 +116,46 @@ def spelled(text: str) -> list[bytes]:
 
 def shaped(word: str) -> str:
     """How a word meets the vocabulary: lower case, behind the mark of a word's start; empty if it has no letter."""
-    return WORD_START + word.lower() if any(map(str.isalpha, word)) else ""
-
-
-def forward_many(lattices: list[list[tuple[int, int, int]]], sizes: list[int], chance: np.ndarray) -> np.ndarray:
-    """Log-probability of each word in each language, all words at once; for words of up to SHORT_WORD characters."""
-    steps: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-    for w, lattice in enumerate(lattices):
-        for i, j, p in lattice:
-            at = steps.setdefault((i, j), ([], []))
-            at[0].append(w)
-            at[1].append(p)
-    alpha = np.zeros((max(sizes, default=0) + 1, len(lattices), chance.shape[1]))
-    alpha[0] = 1
-    for (i, j), (which, piece) in sorted(steps.items()):
-        which = np.array(which)
-        alpha[j, which] += alpha[i, which] * chance[piece]
-    return np.log(alpha[sizes, np.arange(len(sizes))])
+    return WORD_START + word.lower() if word.isalpha() or any(map(str.isalpha, word)) else ""
+
+
+def forward_many(own: Vocabulary, words: list[str], chance: np.ndarray) -> np.ndarray:
+    """Log-probability of each word in each language, all words at once; for words of up to SHORT_WORD characters.
+
+    Position by position, the sums over segmentations that end there flow on along every piece that begins there; the
+    pieces are found by walking the tree of prefixes for all words together, longest words first.
+    """
+    size = np.array([len(w) for w in words], np.int64)
+    by = np.argsort(-size, kind="stable")
+    size = size[by]
+    code = np.frombuffer("".join([words[i] for i in by]).encode("utf-32-le"), np.uint32)
+    first = np.cumsum(size) - size  # of each word's characters; its positions are one more
+    place = first + np.arange(len(size))
+    alpha = np.zeros((len(code) + len(size), chance.shape[1]))
+    alpha[place] = 1
+    for i in range(int(size[0]) if len(size) else 0):
+        active = int(np.searchsorted(-size, -i, "left"))  # words longer than i
+        here = alpha[place[:active] + i]
+        which, node = np.arange(active), np.zeros(active, np.int64)
+        for depth in range(1, own.deepest + 1):
+            if depth > 1:
+                longer = size[which] >= i + depth
+                which, node = which[longer], node[longer]
+            node = own.step(node, code[first[which] + i + depth - 1])
+            piece = own.piece[node]
+            if depth == 1:  # a character that is no piece is the last number
+                lone = which[piece < 0]
+                alpha[place[lone] + i + 1] += here[lone] * chance[-1]
+            ends = piece >= 0
+            some = which[ends]
+            alpha[place[some] + i + depth] += here[some] * chance[piece[ends]]
+            on = node > 0
+            which, node = which[on], node[on]
+            if not len(which):
+                break
+    out = np.empty((len(size), chance.shape[1]))
+    out[by] = np.log(alpha[place + size])
+    return out
 
 
 def forward_long(lattice: list[tuple[int, int, int]], n: int, chance: np.ndarray) -> np.ndarray:
@@ -227,30 +284,29 @@ class Scorer(dict):
         while first + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[first : first + len(new)] = 0
-        short, lattices = [], []
+        short, spellings = [], []
         for i, word in enumerate(new):
             self[word] = first + i
             text = shaped(word.decode())
             if not text:
                 continue
             self.table[first + i, -1] = 1
-            lattice = self.own.lattice(text)
             if len(text) <= SHORT_WORD:
-                short.append((first + i, len(text)))
-                lattices.append(lattice)
+                short.append(first + i)
+                spellings.append(text)
             else:
-                self.table[first + i, :-1] = forward_long(lattice, len(text), self.model.chance)
+                self.table[first + i, :-1] = forward_long(self.own.lattice(text), len(text), self.model.chance)
         if short:
-            rows, sizes = zip(*short)
-            self.table[list(rows), :-1] = forward_many(lattices, list(sizes), self.model.chance)
+            self.table[short, :-1] = forward_many(self.own, spellings, self.model.chance)
 
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
         """For each list of words: log-likelihood by language, and the number of words with a letter."""
-        new = list({w for found in texts for w in found if w not in self})
+        every = set().union(*texts)
+        new = every.difference(self)
         if len(self) + len(new) > CACHED_WORDS:
             self.clear()
-            new = list({w for found in texts for w in found})
-        self.learn(new)
+            new = every
+        self.learn(list(new))
         return np.array([self.table[list(map(self.__getitem__, found))].sum(0) for found in texts])
 
 
