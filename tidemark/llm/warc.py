@@ -1,8 +1,9 @@
 """WARC archives of individually compressed records that share a Zstandard dictionary.
 
 An archive is one byte stream: a skippable frame (magic 0x184D2A5D) that holds the dictionary, then a Zstandard frame
-for each WARC 1.1 record, so any record can be read with the dictionary alone. The dictionary is trained on the archive's
-own first records, as many as TRAIN_BYTES allow; archives too small to train on carry no dictionary frame.
+for each WARC 1.1 record, so any record can be read with the dictionary alone. The dictionary is trained on records from
+all over the archive, as many as TRAIN_BYTES allow; where these are too few or too uniform to train on, their own
+beginning is the dictionary.
 
 Archives are rows (archive, content) of a table that Spark writes, so they can lie in any store that Spark reaches and
 appear only when their task has committed; `export` copies one to a plain .warc.zst file.
@@ -23,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._spark import stored
+
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 8 << 20
 TRAIN_BYTES = 1 << 20
@@ -58,20 +61,15 @@ def _record(row: dict) -> bytes:
 
 def archive_bytes(records: list[bytes]) -> bytes:
     """One archive of these records."""
-    sample, size = [], 0
-    for r in records:
-        if size >= TRAIN_BYTES:
-            break
-        sample.append(r[:TRAIN_BYTES])
-        size += len(r)
+    step = max(1, -(-sum(map(len, records)) // TRAIN_BYTES))
+    sample = [r[:TRAIN_BYTES] for r in records[::step]]
     try:
-        trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, size // 8), sample) if len(sample) >= 8 and size >= 16 << 10 else None
-    except zstandard.ZstdError:  # too uniform to train on
-        trained = None
-    raw = trained.as_bytes() if trained else b""
-    head = struct.pack("<II", SKIPPABLE_MAGIC, len(raw)) + raw if raw else b""
-    squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained) if trained else zstandard.ZstdCompressor(level=LEVEL)
-    return head + b"".join(squeeze.compress(r) for r in records)
+        trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, sample)) // 8), sample)
+    except (zstandard.ZstdError, ValueError):  # too few or too uniform
+        trained = zstandard.ZstdCompressionDict(b"".join(sample)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = trained.as_bytes()
+    squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained)
+    return struct.pack("<II", SKIPPABLE_MAGIC, len(raw)) + raw + b"".join(squeeze.compress(r) for r in records)
 
 
 def records_of(content: bytes) -> Iterator[bytes]:
@@ -110,20 +108,22 @@ def parse(record: bytes) -> dict:
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of each row.
 
-    Counting by digest is combined before the shuffle and its result holds digests with two or more rows only, so a
-    payload that a third of the rows share is one row on the small side of the join.
+    Equal payloads are found on ids and digests alone, and short ones aren't looked for. Payloads meet what was found by
+    their own id, so a payload that a third of the rows share is spread like all others.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload")
     ).select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    long = F.col("payload_bytes") >= MIN_REVISIT
-    first = rows.where(long).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    told = stored(rows.where(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", "payload_digest"), "digests")
+    first = told.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     first = first.where("n > 1 AND first_id IS NOT NULL").select("payload_digest", "first_id")
-    joined = rows.join(first, "payload_digest", "left")
-    again = long & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    again = told.join(first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).distinct()
+    again = again.toDF("__digest", "__id", "refers_to")
+    joined = rows.join(again, rows["page_id"].eqNullSafe(again["__id"]) & (rows["payload_digest"] == again["__digest"]), "left")
+    revisit = F.col("refers_to").isNotNull()
     return joined.select(
-        "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"),
+        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), "refers_to",
     )
 
 
