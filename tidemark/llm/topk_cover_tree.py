@@ -1,9 +1,11 @@
 """Exact top-k search by inner product with cover trees over queries and candidates, walked together.
 
 Vectors are packed into shards of bounded size and queries into blocks of bounded size. Every block meets every shard
-(a stated query set against all rows, in blocks), so the work is |blocks| x |shards| independent steps; nothing is
-broadcast and no task holds more than one shard and one block. A step builds a cover tree over each side and walks
-node pairs: for a query node with centre a and covering radius r, and a candidate node with centre c and radius s,
+(a stated query set against all rows, in blocks): shards and blocks are dealt into groups of about GROUP each, a group of
+shards meets a group of blocks under a key of their own, and nothing is broadcast. So a shard is sent once for each group
+of blocks, not for each block, and no task holds more than the packed rows of two groups. There a cover tree is built for
+each shard and block once, and node pairs are walked: for a query node with centre a and covering radius r, and a
+candidate node with centre c and radius s,
 
     q . x  <=  a.c + |a| s + |c| r + r s
 
@@ -25,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._spark import stored
+
 SHARD_ROWS = 2048
 BLOCK_ROWS = 1024
 LEAF_ROWS = 128
 FAN_OUT = 32
+GROUP = 16
 PACKED = "part string, dim int, n int, ids binary, vectors binary"
 
 
@@ -210,39 +215,35 @@ def top_k(
     Rows that repeat an id are queries and candidates of their own; a query excludes all candidates of its id.
     """
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[str, tuple[np.ndarray, Tree, Best]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for part, (ids, _, best) in state.items():
-                full = best.id != np.iinfo(np.int64).max
-                at = np.repeat(np.arange(len(ids), dtype=np.int32), full.sum(1))
-                columns = [pa.array([part] * len(at), pa.string()), pa.array(at), pa.array(ids[at]), pa.array(best.id[full]), pa.array(best.score[full])]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "row", "query_id", "vec_id", "score"])
-            state.clear()
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = row["block"]
-                if block["part"] not in state:
-                    yield from flush()
-                    ids, x = _unpack(block)
-                    state[block["part"]] = ids, Tree(x), Best(len(ids), k)
-                query_ids, tree, best = state[block["part"]]
-                ids, x = _thinned(*_unpack(row["shard"]), k)
-                search(tree, query_ids, Tree(x), ids, best)
-        yield from flush()
-
-    shards = _pack(candidates, id_col, vector_col, scale, SHARD_ROWS, "x")
-    blocks = _pack(queries, id_col, vector_col, scale, BLOCK_ROWS, "q")
-    whole = lambda df, name: df.select("dim", F.struct(*PACKED_NAMES).alias(name))
-    pairs = whole(shards, "shard").join(whole(blocks, "block"), "dim").select("shard", "block")
-    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(n, F.col("block.part"), F.pmod(F.xxhash64("shard.part"), F.lit(n)))
-    found = pairs.sortWithinPartitions("block.part").mapInArrow(met, "part string, row int, query_id long, vec_id long, score long")
+    def met(shards: pa.Table, blocks: pa.Table) -> pa.Table:
+        parts = [np.zeros(0, "U1")], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        asked = [(row["part"], *_unpack(row)) for row in blocks.to_pylist()]
+        asked = [(part, ids, Tree(x), Best(len(ids), k)) for part, ids, x in asked]
+        for i in range(len(shards) if asked else 0):
+            ids, x = _thinned(*_unpack(shards.slice(i, 1).to_pylist()[0]), k)
+            tree = Tree(x)
+            for _, query_ids, queries, best in asked:
+                search(queries, query_ids, tree, ids, best)
+        for part, ids, _, best in asked:
+            full = best.id != np.iinfo(np.int64).max
+            at = np.repeat(np.arange(len(ids), dtype=np.int32), full.sum(1))
+            for column, value in zip(parts, (np.full(len(at), part), at, ids[at], best.id[full], best.score[full])):
+                column.append(value)
+        return pa.table([pa.array(np.concatenate(c).tolist() if i == 0 else np.concatenate(c), t) for i, (c, t) in enumerate(zip(parts, kinds))], names=names)
+
+    names, kinds = ["part", "row", "query_id", "vec_id", "score"], [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    shards = stored(_pack(candidates, id_col, vector_col, scale, SHARD_ROWS, "x"), "shards")
+    blocks = stored(_pack(queries, id_col, vector_col, scale, BLOCK_ROWS, "q"), "blocks")
+    n_shards, n_blocks = max(1, shards.count()), max(1, blocks.count())
+    of_blocks = -(-n_blocks // GROUP)
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_shards = max(-(-n_shards // GROUP), min(n_shards, -(-tasks // of_blocks)))  # smaller groups where there would be few
+    group = lambda n: F.pmod(F.xxhash64("part"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = shards.withColumn("g", group(of_shards)).withColumn("h", every(of_blocks))
+    right = blocks.withColumn("h", group(of_blocks)).withColumn("g", every(of_shards))
+    key = ["dim", "g", "h"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(met, "part string, row int, query_id long, vec_id long, score long")
     best = Window.partitionBy("part", "row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
-
-
-PACKED_NAMES = [part.split()[0] for part in PACKED.split(", ")]
