@@ -275,3 +275,23 @@ def test_moved_keys(fresh):
         with pytest.raises(ConstraintError) as e:
             fresh.sql(text)
         assert e.value.sqlstate == "23505"
+
+
+def test_parameters(fresh):
+    fresh.sql("INSERT INTO t (id, w) VALUES ($1, $2), ($3, '$1')", {"1": 1, "2": "it's", "3": 2})
+    assert rows(fresh.sql("SELECT w FROM t WHERE id = $id", {"id": 1})) == [("it's",)]
+    assert rows(fresh.sql("SELECT id FROM t WHERE w = '$1' OR $flag", {"1": "no", "flag": None})) == [(2,)]
+
+
+def test_indexes(fresh):
+    fresh.sql("CREATE INDEX i ON t (v)")
+    fresh.sql("CREATE INDEX j ON t (v, w) USING BTREE")
+    with pytest.raises(ValueError):
+        fresh.sql("CREATE INDEX k ON t (v, w) USING HASH")
+    assert rows(fresh.sql("SELECT indexname FROM pg_indexes")) == [("i",), ("j",)]
+    fresh.sql("ALTER TABLE t RENAME COLUMN w TO x")
+    fresh.sql("DROP INDEX i")
+    fresh.sql("DROP INDEX IF EXISTS i")
+    assert fresh.ledger.catalog()["indexes"]["j"]["columns"] == ["v", "x"]
+    fresh.sql("ALTER TABLE t DROP COLUMN x")
+    assert fresh.ledger.catalog()["indexes"] == {}

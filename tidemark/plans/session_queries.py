@@ -287,3 +287,67 @@ def session_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders replayed from the start of the log, without the checkpoint."""
     return state.state_at(_session(spark, _log(spark, sf_dir), "sales").ledger.changes("sales.orders"))
+
+
+@_query("SELECT s_suppkey AS id, s_name || '!' AS name, CASE WHEN s_suppkey % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE s_acctbal END AS balance FROM supplier")
+def session_savepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a transaction leaves that goes back to a savepoint and on from there."""
+    s = _suppliers(spark, sf_dir)
+    for text in (
+        "BEGIN DOMAIN d", "UPDATE suppliers SET balance = 0 WHERE MOD(id, 2) = 0", "SAVEPOINT a", "DELETE FROM suppliers",
+        "ROLLBACK TO a", "UPDATE suppliers SET name = name || '!'", "COMMIT",
+    ):
+        s.sql(text)
+    return s.sql("SELECT id, name, balance FROM suppliers")
+
+
+@_query("""SELECT * FROM (VALUES ('check', '23514'), ('conflict', '40001'), ('domain', '42501'), ('foreign key', '23503'), ('history', '42501'), ('json', '22P02'), ('moved key', '23505'),
+           ('null', '23502'), ('primary key', '23505'), ('reference', '23000'), ('right', '42501'), ('unique', '23505'), ('used table', '2BP01')) AS t(what, sqlstate)""")
+def session_sqlstates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state that each kind of refused statement gives; nothing of them is left in the log."""
+    from tidemark.operators.access import Policy
+    from tidemark.session import Session
+
+    s = _session(spark, scratch(spark, "log"), "d")
+    s.sql("CREATE TABLE nations (id INT PRIMARY KEY, name TEXT NOT NULL UNIQUE, region INT CHECK (region >= 0), doc JSON)")
+    s.sql("CREATE TABLE towns (id INT PRIMARY KEY, nation INT REFERENCES nations(id))")
+    s.append("nations", _read(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS name", "n_regionkey AS region"))
+    s.sql("BEGIN DOMAIN e")
+    s.sql("CREATE TABLE visits (id INT PRIMARY KEY, nation INT, v INT, VERSIONED FOREIGN KEY (nation) REFERENCES d.nations(id) AS OF v)")
+    s.sql("COMMIT")
+    policy = Policy({"reader": {}, "admin": {"privileges": ["ADMIN"]}})
+
+    def state(domains: list[str], text: str, principal: str = "admin") -> str | None:
+        own = Session(spark, s.ledger.path, policy, principal)
+        own.domains = domains
+        try:
+            own.sql(text)
+        except Exception as e:
+            return getattr(e, "sqlstate", None) or type(e).__name__
+        return None
+
+    head = s.head()
+    rows = [
+        ("primary key", state(["d"], "INSERT INTO nations (id, name) VALUES (3, 'x')")),
+        ("unique", state(["d"], "UPDATE nations SET name = 'y' WHERE id < 2")),
+        ("moved key", state(["d"], "UPDATE nations SET id = 7 WHERE id = 3")),
+        ("null", state(["d"], "INSERT INTO nations (id, name) VALUES (NULL, 'x')")),
+        ("check", state(["d"], "UPDATE nations SET region = -1 WHERE id = 1")),
+        ("json", state(["d"], "UPDATE nations SET doc = '{' WHERE id = 1")),
+        ("foreign key", state(["d"], "INSERT INTO towns (id, nation) VALUES (1, 99)")),
+        ("used table", state(["d"], "DROP TABLE nations")),
+        ("reference", state(["e"], "INSERT INTO visits (id, nation) VALUES (1, 99)")),
+        ("domain", state(["e"], "SELECT id FROM d.nations")),
+        ("right", state(["d"], "DELETE FROM nations", "reader")),
+        ("history", state(["d"], "SELECT * FROM nations FOR HISTORY", "reader")),
+    ]
+    if s.head() != head:
+        raise ValueError("a refused statement has left a commit")
+    s.sql("BEGIN DOMAIN d")
+    s.sql("UPDATE nations SET region = 0")
+    _session(spark, s.ledger.path, "d").sql("DELETE FROM nations WHERE id = 0")
+    try:
+        s.sql("COMMIT")
+    except RuntimeError as e:
+        rows.append(("conflict", e.sqlstate))
+    return spark.createDataFrame(rows, "what string, sqlstate string")
