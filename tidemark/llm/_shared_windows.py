@@ -106,23 +106,27 @@ class Anchors:
     """The distinct anchors of a chunk, ordered by bucket and name."""
 
     def __init__(self, name: np.ndarray, row: np.ndarray, buckets: int) -> None:
-        pair = np.unique(np.stack([name, row.astype(np.uint64)]), axis=1) if len(name) else np.zeros((2, 0), np.uint64)
-        found, count = np.unique(pair[0], return_counts=True)
+        by = np.argsort(name, kind="stable")  # rows of a name stay in order
+        ordered = name[by]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(name) else by
+        last = np.append(first[1:], len(name))[: len(first)] - 1
+        found, row = ordered[first], row[by]
         bucket = (found % np.uint64(buckets)).astype(np.int64)
-        self.by = np.lexsort((found, bucket))
-        self.sorted, self.bucket, self.repeated = found, bucket[self.by], count >= 2
+        self.by = np.argsort(bucket, kind="stable")
+        self.sorted, self.bucket, self.repeated = found, bucket[self.by], row[first] != row[last]
+        self.place = np.empty(len(name), np.int64)  # of each run's anchor
+        self.place[by] = np.repeat(np.arange(len(first)), last - first + 1)
 
     def ask(self, chunk: int) -> pa.Table:
         names = self.sorted[self.by]
         rows = [(b, six(names[some])) for b, some in by_bucket(self.bucket)]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "names": pa.array([r[1] for r in rows], pa.binary())})
 
-    def shared(self, bits: np.ndarray, name: np.ndarray) -> np.ndarray:
-        """Which of the named anchors another text has, given the answers in order."""
+    def shared(self, bits: np.ndarray) -> np.ndarray:
+        """Which runs have an anchor that another text has, given the answers in order."""
         flag = np.zeros(len(self.sorted), bool)
         flag[self.by] = bits[: len(self.by)]
-        flag |= self.repeated
-        return flag[np.searchsorted(self.sorted, name)] if len(name) else np.zeros(0, bool)
+        return (flag | self.repeated)[self.place]
 
 
 ASKED = "bucket int, chunk int, names binary"

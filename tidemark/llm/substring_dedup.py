@@ -92,7 +92,7 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     docs, n, copies = sw.chunked(df, id_col, text_col)
 
     def shared_windows(chunk: _Chunk, bits: pa.Table) -> tuple[np.ndarray, np.ndarray, _Windows]:
-        flag = sw.Anchors(chunk.name, chunk.row, n).shared(sw.answers(bits, 1), chunk.name)
+        flag = sw.Anchors(chunk.name, chunk.row, n).shared(sw.answers(bits, 1))
         place, row = chunk.windows(np.flatnonzero(flag))
         return place, row, _Windows(chunk.hashes[:, place], chunk.doc[row])
 

@@ -20,23 +20,17 @@ each other. Columns besides the id and the text come back in `rest`. An empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark.llm import _shared_windows as sw
-from tidemark.llm._spark import stored
 from tidemark.llm._words import BASE, BYTE_CODE, INVERSE, mix, powers, rolling, slices, texts
 
 WIDTH = 50
 GRAM = 16
 #: Parts of a bucket, by anchor, that a reducer sorts one after another; bounds its memory.
 PARTS = 32
-#: The kind of the rows that hold a chunk's runs, beside what it is told.
-RUNS = 3
 
 
 def words_of(s: np.ndarray) -> np.ndarray:
@@ -148,21 +142,11 @@ def common_prefix_reaches(word: np.ndarray, order: np.ndarray, width: int) -> np
 
 
 class _Chunk:
-    """The texts of a chunk, in an order that is the same each time, and the runs of their windows.
-
-    Runs are found once and stored; later passes read them back.
-    """
+    """The runs of windows of a chunk's texts."""
 
     def __init__(self, table: pa.Table, width: int, told: pa.Table) -> None:
-        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("mark", "ascending")]))
-        self.table, self.doc, (self.raw, self.edges), self.copied = table, sw.ids(table), texts(table["text"]), sw.copied(table, told)
-        kept = told.filter(pc.equal(told["kind"], RUNS))
-        parts = [self._load(kept, width)] if len(kept) else list(self._find(width))
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.start, self.count, self.name, self.row = (np.concatenate(c) for c in zip(none, *parts))
-
-    def _find(self, width: int) -> Iterator[tuple[np.ndarray, ...]]:
-        gram = min(GRAM, width)
+        self.doc, (self.raw, self.edges), self.copied = sw.ids(table), texts(table["text"]), sw.copied(table, told)
+        gram, parts = min(GRAM, width), []
         for at, stop in slices(self.edges):
             begin, end = self.edges[at], self.edges[stop]
             room = np.diff(self.edges[at : stop + 1]) - width + 1  # windows of each text
@@ -171,30 +155,9 @@ class _Chunk:
             which = np.repeat(np.arange(stop - at), np.diff(self.edges[at : stop + 1]))
             start = start[start - (self.edges[at:stop] - begin)[which] < room[which]]
             first, count, name = sw.runs(rolling(BYTE_CODE[self.raw[begin:end]], gram), width - gram + 1, start)
-            yield first + begin, count, name, at + which[first]
-
-    def packed(self, width: int) -> bytes:
-        """The number of runs of each text, and of each run its number of windows and its anchor's name."""
-        return np.bincount(self.row, minlength=len(self.doc)).astype(np.int32).tobytes() + self.count.astype(_count_kind(width)).tobytes() + sw.six(self.name)
-
-    def _load(self, kept: pa.Table, width: int) -> tuple[np.ndarray, ...]:
-        own, count, name = unpacked(kept["bits"][0].as_buffer(), len(self.doc), kept["n"][0].as_py(), width)
-        row = np.repeat(np.arange(len(own)), own)
-        before = np.cumsum(count) - count  # a text's first window is at its start, and its runs follow one another
-        first = np.cumsum(own) - own
-        start = self.edges[:-1][row] + before - np.repeat(before[first[own > 0]], own[own > 0])
-        return start, count, name, row
-
-
-def _count_kind(width: int) -> type:
-    return np.uint8 if width < 256 else np.uint32
-
-
-def unpacked(blob, texts: int, runs: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of each text, windows of each run, names."""
-    kind = np.dtype(_count_kind(width))
-    own, count = np.frombuffer(blob, np.int32, texts), np.frombuffer(blob, kind, runs, 4 * texts)
-    return own.astype(np.int64), count.astype(np.int64), sw.of_six(np.frombuffer(blob, np.uint8, 6 * runs, 4 * texts + kind.itemsize * runs))
+            parts.append((first + begin, count, name, at + which[first]))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.start, self.count, self.name, self.row = (np.concatenate(c) for c in zip(none, *parts))
 
 
 def _hash(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -309,21 +272,13 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     docs, n, copies = sw.chunked(df, id_col, text_col)
 
     def stretches(chunk: _Chunk, bits: pa.Table) -> tuple[np.ndarray, _Stretches]:
-        flag = sw.Anchors(chunk.name, chunk.row, n).shared(sw.answers(bits, 1), chunk.name)
+        flag = sw.Anchors(chunk.name, chunk.row, n).shared(sw.answers(bits, 1))
         chosen = np.flatnonzero(flag)
         return chosen, _Stretches(chunk, chosen, width, n)
 
-    def find_runs(table: pa.Table, told: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, width, told)
-        columns = [[table["chunk"][0].as_py()], [RUNS], [len(chunk.doc)], [len(chunk.name)], [chunk.packed(width)], [None], [None]]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, told.schema)], schema=told.schema) if len(table) else told.slice(0, 0)
-
-    def send_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                chunk, rows, count, blob = (batch.column(k)[r] for k in range(4))
-                own, _, name = unpacked(blob.as_buffer(), rows.as_py(), count.as_py(), width)
-                yield from sw.Anchors(name, np.repeat(np.arange(len(own)), own), n).ask(chunk.as_py()).to_batches()
+    def send_anchors(table: pa.Table, bits: pa.Table) -> pa.Table:
+        chunk = _Chunk(table, width, bits)
+        return sw.Anchors(chunk.name, chunk.row, n).ask(table["chunk"][0].as_py() if len(table) else 0)
 
     def send_stretches(table: pa.Table, bits: pa.Table) -> pa.Table:
         chunk = _Chunk(table, width, bits)
@@ -342,7 +297,7 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
         gone |= smaller[np.repeat(begin[found.of], count) + step]
         gone &= np.repeat(doc != sw.NO_ID, count)
         place, row = (np.repeat(chunk.start[chosen], count) + step)[gone], np.repeat(row, count)[gone]
-        table, edge = chunk.table, np.searchsorted(row, np.arange(len(chunk.doc) + 1))  # runs come in order of rows and places
+        edge = np.searchsorted(row, np.arange(len(chunk.doc) + 1))  # runs come in order of rows and places
         raw, at, spans, kept = chunk.raw, chunk.edges, [], []
         for i in range(len(chunk.doc)):
             n = int(at[i + 1] - at[i])
@@ -353,9 +308,8 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
             kept.append(b"".join([text[cut[k] : cut[k + 1]] for k in range(0, len(cut), 2)]))
         return pa.table({"doc_id": table["doc_id"], "n_bytes": pa.array(np.diff(at)), "spans": sw.spans_column(spans), "kept": pa.array(kept, pa.binary()), "rest": table["rest"]})
 
-    runs = stored(docs.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(find_runs, sw.ANSWERED), "runs")
-    asked = runs.select("chunk", "bucket", "n", "bits").mapInArrow(send_anchors, sw.ASKED)
-    first = asked.groupBy("bucket").applyInArrow(sw.held_elsewhere, sw.ANSWERED).union(copies).union(runs)
+    asked = docs.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(send_anchors, sw.ASKED)
+    first = asked.groupBy("bucket").applyInArrow(sw.held_elsewhere, sw.ANSWERED).union(copies)
     sent = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_stretches, "bucket int, chunk int, bytes binary, sizes binary, least binary, parts binary")
     second = sent.groupBy("bucket").applyInArrow(lambda table: _smaller_elsewhere(table, width), sw.ANSWERED)
     made = sw.result(docs, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary", "rest")
