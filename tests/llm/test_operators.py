@@ -357,6 +357,9 @@ def test_html_large_host_is_judged_as_a_whole(spark, monkeypatch):
     whole = host_pages(spark, bodies)
     monkeypatch.setattr(html_boilerplate, "SHARD_PAGES", 32)  # more shards than pages with the notice
     assert host_pages(spark, bodies) == whole
+    monkeypatch.setattr(html_boilerplate, "SHARD_PAGES", 2048)
+    monkeypatch.setattr(html_boilerplate, "SHARD_BYTES", 20_000)
+    assert host_pages(spark, bodies) == whole
     assert whole[0] == own[0] and whole[300] == copied and whole[330] == prose("main 0", 25)
 
 

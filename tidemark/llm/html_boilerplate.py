@@ -15,7 +15,7 @@ Copies don't erase each other: pages with the same text outside chrome are one p
 1 / OWN_PART is its own, in no run of another page of the host, is a near copy; near copies that hold a run count as one
 page for it. So boilerplate stays on a host whose pages are nearly all near copies.
 
-A host's pages are sorted in shards of about SHARD_PAGES pages, dealt by a hash of the page, which bounds a task
+A host's pages are sorted in shards of about SHARD_PAGES pages or SHARD_BYTES, dealt by a hash of the page, which bounds a task
 however large a host is. A host of several shards is judged as a whole all the same: its shards exchange 64-bit hashes of
 their runs, first with the distinct pages that hold each, to tell which runs two pages share and so which pages are near
 copies, then, of the shared runs, with the pages that count. Equal texts count in the shard of the smallest number.
@@ -44,6 +44,7 @@ RUN = 8
 MIN_PAGES = 3
 OWN_PART = 5
 SHARD_PAGES = 2048
+SHARD_BYTES = 64 << 20
 MAIN, OPEN, CHROME, HEADING = 0, 1, 2, 3
 
 # HTML's elements by their role, and the names that sites give to parts that aren't the article.
@@ -420,8 +421,9 @@ def _extract(table: pa.Table, news: pa.Table) -> pa.Table:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and text of every page."""
-    size = pages.select(host(F.col(url_col)).alias("host")).groupBy("host").agg(F.count("*").alias("n"))
-    large = stored(size.where(F.col("n") > SHARD_PAGES).select("host", F.ceil(F.col("n") / SHARD_PAGES).cast("int").alias("shards")), "large-hosts")
+    size = pages.select(host(F.col(url_col)).alias("host"), F.octet_length(html_col).cast("long").alias("bytes")).groupBy("host").agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    size = size.select("host", F.ceil(F.greatest(F.col("n") / SHARD_PAGES, F.col("bytes") / SHARD_BYTES)).cast("int").alias("shards"))
+    large = stored(size.where("shards > 1"), "large-hosts")
     chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
     dealt = chosen.join(large, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))  # Spark broadcasts `large` if its files are small
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), "shards").cast("int"))
