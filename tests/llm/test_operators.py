@@ -293,7 +293,7 @@ def test_forward_sums_all_segmentations():
     assert langid.forward_many(vocabulary, [], chance).shape == (0, 2)
 
 
-def test_bpe(frame, docs, empty):
+def test_bpe(frame, docs, empty, monkeypatch):
     how = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoder = bpe.encoder(*how)
     truth = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
@@ -306,6 +306,11 @@ def test_bpe(frame, docs, empty):
         assert np.frombuffer(encoder.encode(text), np.int32).tolist() == truth.encode_ordinary(text)
     long = "ab" * 20000 + "thequick" * 2000
     assert np.frombuffer(encoder.encode(long), np.int32).tolist() == truth.encode_ordinary(long)
+    monkeypatch.setattr(bpe, "GROUP_CHARACTERS", 100)  # longer texts go match by match
+    monkeypatch.setattr(bpe, "GROUP_MATCHES", 7)
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 20)
+    mixed = " ".join(rng.choice(["the", "quick", "brown's", "foxé", "12  ", "zq" * 300]) for _ in range(200))
+    assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode_all([mixed, "", "ab " * 20])] == [truth.encode_ordinary(t) for t in (mixed, "", "ab " * 20)]
     assert bpe.encode(empty, *how).count() == 0
 
 

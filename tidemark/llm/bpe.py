@@ -2,25 +2,23 @@
 
 The bytes of pre-tokens form doubly linked lists. Each adjacent pair that is a token waits in a bucket of its merge rank;
 a bucket holds list positions. Which buckets have entries is kept in bitmaps of three levels, 64 ranks to a word at the
-lowest, so find-first-set on three words gives the lowest waiting rank. A bucket's positions are taken leftmost first,
-and an entry whose pair has changed since is stale and skipped. Work is n log n in the length of a pre-token, which
+lowest, so find-first-set on three words gives the lowest waiting rank. A bucket is sorted when its turn comes, its
+positions are taken leftmost first, and an entry whose pair has changed since is stale and skipped. Work is n log n in the length of a pre-token, which
 suits very long ones; many pre-tokens share one queue, as lists that end at each other's edges, which spreads the cost
 of finding the next rank over all of them.
 
-Texts are cut by a pattern and each match is encoded by itself. Parts of a text that start with a single space between
-two other characters are cut alike wherever they stand, so their ids are remembered (CACHED_PARTS of them); other texts
-are cut as a whole. Pre-tokens are remembered too (CACHED_PIECES). A null text is an empty one and has no ids. Rows are
-independent: repeated rows, null ids and further columns pass through, and an empty table gives an empty one.
+Texts are cut by a pattern and each match is encoded by itself. Pre-tokens are remembered (CACHED_PIECES of them). A null
+text is an empty one and has no ids. Rows are independent: repeated rows, null ids and further columns pass through, and
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import struct
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -29,11 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_PARTS = 500_000
-CACHED_PIECES = 500_000
-LONG_PART = 512
-#: Characters of texts that are prepared together, and bytes of pre-tokens that share a queue.
+CACHED_PIECES = 900_000
+LONG_PIECE = 512
+#: Characters of texts, and matches of a longer text, that are encoded together; bytes of pre-tokens that share a queue.
 GROUP_CHARACTERS = 2 << 20
+GROUP_MATCHES = 400_000
 QUEUE_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
 
@@ -55,12 +53,12 @@ class RankQueue:
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            heappush(bucket, position)
+            bucket.append(position)
         else:
             self.open(rank, [position])
 
     def open(self, rank: int, bucket: list[int]) -> None:
-        """A bucket, ascending, for a rank that has none."""
+        """A bucket for a rank that has none."""
         self.buckets[rank] = bucket
         a = rank >> 6
         word = self.low.get(a, 0)
@@ -150,9 +148,11 @@ class Merger:
             queue.open(rank, some.tolist())
         buckets, push = queue.buckets, queue.push
         while (rank := queue.first()) >= 0:
-            bucket, again = buckets[rank], False
-            while bucket and not again:
-                i = heappop(bucket)
+            bucket, at, lower = buckets[rank], 0, False
+            bucket.sort()
+            while at < len(bucket) and not lower:
+                i = bucket[at]
+                at += 1
                 if waiting[i] != rank:  # stale
                     continue
                 j = end[i]
@@ -168,8 +168,11 @@ class Merger:
                     waiting[i] = -1
                 else:
                     waiting[i] = new
-                    push(new, i)
-                    again = new < rank
+                    if new == rank:
+                        insort(bucket, i, at)
+                    else:
+                        push(new, i)
+                        lower = new < rank
                 h = before[i]
                 if h >= 0:
                     new = rank_of(raw[h:k])
@@ -177,9 +180,14 @@ class Merger:
                         waiting[h] = -1
                     else:
                         waiting[h] = new
-                        push(new, h)
-                        again = again or new < rank
-            if not bucket:
+                        if new == rank:
+                            insort(bucket, h, at)
+                        else:
+                            push(new, h)
+                            lower = lower or new < rank
+            if at < len(bucket):
+                buckets[rank] = bucket[at:]
+            else:
                 queue.close(rank)
         kept = np.frombuffer(live, np.uint8).astype(bool)
         ids = np.array(token, np.int32)[kept].tobytes()
@@ -193,18 +201,14 @@ def merge(piece: bytes, merger: Merger) -> list[int]:
     return np.frombuffer(merger([piece])[0], np.int32).tolist()
 
 
-#: Beside a space, another white-space character or an edge of the text: such texts are cut as a whole.
-_UNEVEN = re.compile(r"\s | \s")
-
-
 def forget_half(memory: dict) -> None:
     """Drop the older half of a memory; what is frequent soon comes back."""
     for key in list(islice(memory, len(memory) // 2)):
         del memory[key]
 
 
-class Encoder(dict):
-    """Part of a text -> its ids as 32-bit numbers in bytes, remembered for CACHED_PARTS parts."""
+class Encoder:
+    """Texts -> their ids as 32-bit numbers in the machine's byte order."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
@@ -214,56 +218,33 @@ class Encoder(dict):
         self.tokens: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():
             self.tokens[i] = token
-        self.matches = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.pieces: dict[str, bytes] = {}
         self.merger = Merger(self.ranks)
 
-    def _cut(self, text: str) -> bytes:
-        return b"".join([self.pieces.get(p) or self._piece(p) for p in self.matches(text)])
-
-    def _piece(self, piece: str) -> bytes:
-        made = self.merger([piece.encode()])[0]
-        if len(piece) <= LONG_PART:
-            self._remember([piece], [made])
-        return made
-
-    def _remember(self, pieces: list[str], made: list[bytes]) -> None:
-        if len(self.pieces) + len(pieces) > CACHED_PIECES:
-            forget_half(self.pieces)
-        self.pieces.update(zip(pieces, made))
-
-    def __missing__(self, part: str) -> bytes:
-        made = self._cut(" " + part)
-        if len(part) <= LONG_PART:
-            if len(self) >= CACHED_PARTS:
-                forget_half(self)
-            self[part] = made
-        return made
-
-    @staticmethod
-    def _parts(text: str) -> tuple[str, list[str]]:
-        """What is cut by itself at the text's beginning, and the parts behind single spaces."""
-        first, space, rest = text.partition(" ")
-        if not space or not first or text[-1].isspace() or first[-1].isspace() or _UNEVEN.search(text):
-            return text, []
-        return first, rest.split(" ")
+    def _ids(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pre-tokens; those that aren't known are merged together first."""
+        known = self.pieces
+        new = [p for p in set().union(*cut) if p not in known]
+        known.update(zip(new, self.merger([p.encode() for p in new])))
+        out = [b"".join(map(known.__getitem__, some)) for some in cut]
+        for p in new:
+            if len(p) > LONG_PIECE:
+                del known[p]
+        if len(known) > CACHED_PIECES:
+            forget_half(known)
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit numbers in the machine's byte order. Pre-tokens that aren't known are merged
-        together first."""
-        cut = [self._parts(text) for text in texts]
-        parts: set[str] = set()
-        for _, some in cut:
-            parts.update(some)
-        new = [p for p in parts if p not in self and len(p) <= LONG_PART]
-        found: set[str] = set()
-        for matches in map(self.matches, [*[" " + p for p in new], *[first for first, _ in cut]]):
-            found.update(matches)
-        pieces = [p for p in found if p not in self.pieces and len(p) <= LONG_PART]
-        for i in range(0, len(pieces), CACHED_PIECES // 4):
-            some = pieces[i : i + CACHED_PIECES // 4]
-            self._remember(some, self.merger([p.encode() for p in some]))
-        return [self._cut(first) + b"".join(map(self.__getitem__, some)) if some else self._cut(first) for first, some in cut]
+        short = [i for i, text in enumerate(texts) if len(text) <= GROUP_CHARACTERS]
+        made = dict(zip(short, self._ids([self.pattern.findall(texts[i]) for i in short])))
+        return [made[i] if i in made else self._long(text) for i, text in enumerate(texts)]
+
+    def _long(self, text: str) -> bytes:
+        matches, out = (m[0] for m in self.pattern.finditer(text)), []
+        while some := list(islice(matches, GROUP_MATCHES)):
+            out += self._ids([some])
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
