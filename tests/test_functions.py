@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import compat as C
+from tidemark.plans import dialect
 from tidemark.plans import statements as S
 
 
@@ -34,6 +35,6 @@ def test_integer_average_truncates(spark):
 def test_statements():
     assert S.normalise("SELECT  'a  b'\n ;") == "SELECT 'a  b'"
     assert S.as_of("SELECT 1 FROM t AS OF LSN 7 WHERE x") == ("SELECT 1 FROM t  WHERE x", 7, None)
-    assert S.rewrite_json("meta->'a'->>'b' = 'x'") == "get_json_object(meta, '$.a.b') = 'x'"
+    assert dialect.expression("meta->'a'->>'b' = 'x'") == r"get_json_object(meta, '$[\'a\'][\'b\']') = 'x'"
     assert S.inline("a = $1 AND b = '$1'", {"1": "o'x"}) == "a = 'o''x' AND b = '$1'"
     assert S.parse("DELETE FROM t WHERE a = ' WHERE '")[1]["where"] == "a = ' WHERE '"
