@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tiktoken.load import load_tiktoken_bpe
 from tokenizers import Tokenizer
 
 from tidemark.llm import queries as Q
@@ -88,7 +89,7 @@ def test_suffixes(spark, texts):
 
 
 def test_byte_pairs(spark, texts):
-    ranks = tiktoken.load.load_tiktoken_bpe(Q.tokenizer_file("byte_bpe_50k.tiktoken"))
+    ranks = load_tiktoken_bpe(Q.tokenizer_file("byte_bpe_50k.tiktoken"))
     encoding = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for r in Q.op10_byte_bpe(spark, SF).collect():
         ids = encoding.encode_ordinary(texts[r.doc_id])
