@@ -43,6 +43,8 @@ SKETCH_SLOTS = 1 << 18
 ID_SLOTS = 1 << 23
 LIST_ROWS = 100_000
 BLOCK_ELEMENTS = 1 << 20
+#: Members of clusters that are few enough to be broadcast to their sets, some 40 bytes each; more meet them by a shuffle.
+BROADCAST_ROWS = 500_000
 POSTINGS = "bucket int, token binary, doc binary, size binary, brief binary"
 _MULTIPLY, _FLIP = CONSTANT[:COORDINATES], CONSTANT[COORDINATES : 2 * COORDINATES]
 
@@ -314,13 +316,15 @@ def _links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     large = sizes.where(blocks > 1).select("cluster", blocks.alias("blocks"))
     members = members.join(large, "cluster", "left")
     members = stored(members.select("doc_id", "cluster", "n_shingles", F.coalesce("blocks", F.lit(1)).alias("blocks")), "members")
-    total = members.agg(F.sum("n_shingles")).first()[0]
+    n, total = members.agg(F.count("*"), F.sum("n_shingles")).first()
     if not total:
         return clusters.select(F.col("component").alias("a"), F.col("id").alias("b")).limit(0)
     sets, block = stored(_set_table(members, docs, width), "sets"), F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     everywhere = F.when(F.col("doc_id") == F.col("cluster"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))
     dealt = members.withColumn("x", F.explode(everywhere)).withColumns({"y": F.col("x"), "component": F.col("doc_id")})
-    within = stored(_linked(dealt.join(sets, "doc_id"), percent, -(-total // block_elements)), "links")
+    if n <= BROADCAST_ROWS:
+        dealt = F.broadcast(dealt)
+    within = stored(_linked(sets.join(dealt, "doc_id"), percent, -(-total // block_elements)), "links")
     if not large.limit(1).count():
         return within
     known = components(within.join(members.where("blocks > 1").select(F.col("doc_id").alias("b")), "b", "left_semi"))
