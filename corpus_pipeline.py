@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, language, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents; the last returns the packed pieces.
+documents; the last returns the packed pieces. An empty table gives an empty one in every stage. A null or empty text fails
+the quality rules; stages that are given one all the same treat it as a text without words.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ LEAST_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
+    """Documents that pass every quality rule. Rows are judged one by one: repeated rows and null ids stay or go alike."""
     return quality.judge(quality.measure(docs)).where("kept").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; without labels to learn from, all that have a letter."""
+    """Documents whose language is recognised; without labels to learn from, all that have a letter. Null ids and labels
+    are no hindrance; a text without a letter goes."""
     learnable = docs.where(~langid.held_out(F.col("doc_id")))
     model = langid.train(learnable, tokenizer_file("piece_bpe_32k.model"))
     if not model.languages:
@@ -34,7 +36,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of smallest id. Five-word shingles, similarity 0.8."""
+    """One document of each near-duplicate group: the one of smallest id. Five-word shingles, similarity 0.8.
+
+    Rows without an id stay, and so do all rows that repeat a kept id. A text without a word is like no other.
+    """
     found = minhash_join.near_duplicates(docs, width=5, percent=80)
     kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
@@ -54,7 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 ids."""
+    """All documents in sequences of at most 2048 ids; a null id passes through, a repeated row is packed again."""
     pieces = packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
