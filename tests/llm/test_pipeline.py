@@ -55,3 +55,17 @@ def test_repeated_passages_by_brute_force(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in lists.items()], "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.text for r in P.repeated_passages(spark, docs, SF).collect()} == want
     assert 3 not in want and want[2] == "own end" and want[7] == "gap tail"
+
+
+def test_stages_on_odd_rows(spark):
+    text = "the quick brown fox and the lazy dog are here to see that it is not as it was in the day " + " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en"), (1, text, "en"), (2, text, None), (None, text, "en"), (3, None, "en"), (4, "", "en"), (5, "12 34", None)]
+    docs = spark.createDataFrame([(*r, "s", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=repr)
+    assert ids(P.quality_rules(spark, docs, SF)) == [1, 1, 2, None]
+    assert ids(P.language_id(spark, docs, SF)) == [1, 1, 2, None]
+    assert ids(P.near_duplicates(spark, docs, SF)) == [1, 1, 3, 4, 5, None]
+    assert ids(P.repeated_passages(spark, docs, SF)) == [1, 1, 3, 4, 5, None]
+    assert set(ids(P.pack(spark, docs, SF))) == {1, 2, 3, 4, 5, None}
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
