@@ -31,8 +31,8 @@ TRAIN_DOCUMENTS = 250
 ROUNDS = 2
 SMOOTHING = 0.02
 SHORT_WORD = 40
-CACHED_WORDS = 400_000
-GROUP_WORDS = 200_000
+CACHED_WORDS = 200_000
+GROUP_WORDS = 100_000
 UNKNOWN = "und"
 WORD_START = "▁"
 _FREE = np.uint64((1 << 64) - 1)

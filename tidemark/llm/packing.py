@@ -30,7 +30,7 @@ TIERS = (256, 512, 1024, 2048)
 GROUP_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 PIECES = "doc_id long, start long, length long, ids_le binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 #: Parts of these characters are normalised by lower-casing alone; none of them is white space, a mark, or composes.
